@@ -82,17 +82,27 @@ def _echo(lines: list[list[str]]) -> list[int]:
     return out
 
 
+_SPLIT = regex.compile(regex.sub(r"\(\?P<\w>", "(?:", _TOKEN.pattern), _TOKEN.flags)
+_READ: dict[str, tuple[str, str, int]] = {}
+
+
+def _read(token: str) -> tuple[str, str, int]:
+    """A token's kind, folded word and number of words; kept, for pages share most of their tokens."""
+    m = _TOKEN.fullmatch(token)
+    kind = m.lastgroup
+    word = token.lower().translate(_FOLD) if kind == "W" else ""
+    if len(_READ) > 300_000:
+        _READ.clear()
+    _READ[token] = got = (kind, word, 0 if kind in "PMSVBDQ" else max(1, len(token.split()) - 1) if kind == "U" else 1)
+    return got
+
+
 def classes(text: str | None) -> tuple[str, list[int]]:
     """The page's classes, one letter a token, and how many words each stands for (a linked title has several)."""
     if not text:
         return "", []
-    kinds, words, weight = [], [], []
-    for m in _TOKEN.finditer(_UNSEEN.sub("", text)):
-        k = m.lastgroup
-        w = m.group().lower().translate(_FOLD) if k == "W" else ""
-        kinds.append(k)
-        words.append(w)
-        weight.append(0 if k in "PMSVBDQ" else max(1, len(m.group().split()) - 1) if k == "U" else 1)
+    known = [_READ.get(t) or _read(t) for t in _SPLIT.findall(_UNSEEN.sub("", text))]
+    kinds, words, weight = [k for k, _, _ in known], [w for _, w, _ in known], [n for _, _, n in known]
     lines, at = [[]], [[]]
     for i, k in enumerate(kinds):
         if k == "B":
@@ -131,9 +141,19 @@ def is_prose(cls: str) -> bool:
     return n >= 20 and told and "U" not in cls and "T" not in cls and cls.count("K") <= 0.05 * n
 
 
-def trigrams(cls: str) -> Counter:
-    s = "^^" + cls
-    return Counter(s[i : i + 3] for i in range(len(s) - 2))
+_CODE = np.zeros(256, "int64")
+_CODE[[ord(c) for c in CLASSES]] = range(len(CLASSES))
+_N = len(CLASSES)
+
+
+def grams(cls: str) -> np.ndarray:
+    """The number of each token's trigram: its class after the two before it."""
+    code = _CODE[np.frombuffer(("^^" + cls).encode("ascii"), "uint8")]
+    return (code[:-2] * _N + code[1:-1]) * _N + code[2:]
+
+
+def gram_name(number: int) -> str:
+    return CLASSES[number // _N // _N] + CLASSES[number // _N % _N] + CLASSES[number % _N]
 
 
 #: Weights of the trigram, bigram, unigram and even distributions. The last keeps one odd token at 9 bits: a
@@ -161,11 +181,10 @@ class Model:
             three = tri[g] / ctx3[g[:2]] if ctx3[g[:2]] else two
             return MIX[0] * three + MIX[1] * two + low
 
-        self.lp = {a + b + c: math.log2(prob(a + b + c)) for a in CLASSES for b in CLASSES for c in CLASSES}
+        self.lp = np.array([math.log2(prob(gram_name(i))) for i in range(_N**3)])
 
     def tokens(self, cls: str) -> np.ndarray:
-        s = "^^" + cls
-        return np.array([self.lp[s[i : i + 3]] for i in range(len(s) - 2)])
+        return self.lp[grams(cls)]
 
     def windows(self, cls: str) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows and the mean surprise (log2 perplexity) of each; a short page is one window."""
@@ -198,10 +217,10 @@ def abnormal_share(cls: str, weight: bytes, model: Model, low: float, high: floa
     if not cls:
         return 0.0, 0.0
     starts, score = model.windows(cls)
-    votes, seen = np.zeros(len(cls)), np.zeros(len(cls))
-    for s, x in zip(starts, score):
-        seen[s : s + WINDOW] += 1
-        votes[s : s + WINDOW] += x > high or x < low
+    odd = (score > high) | (score < low)
+    ends = np.minimum(starts + WINDOW, len(cls))
+    seen = np.cumsum(np.bincount(starts, minlength=len(cls) + 1) - np.bincount(ends, minlength=len(cls) + 1))[:-1]
+    votes = np.cumsum(np.bincount(starts, odd, len(cls) + 1) - np.bincount(ends, odd, len(cls) + 1))[:-1]
     bad = votes * 2 >= np.maximum(seen, 1)
     w = np.frombuffer(weight, "uint8").astype(float)
     return float((w * bad).sum() / max(1.0, w.sum())), float(-model.tokens(cls).mean())
@@ -230,23 +249,24 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total: Counter = Counter()
+        total: dict[str, np.ndarray] = {}
         for cls, lay in zip(batch.column("cls").to_pylist(), batch.column("layout").to_pylist()):
-            for g, n in trigrams(cls).items():
-                total[lay, g] += n
-        if total:
-            yield pa.record_batch([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()), pa.int64())], names=["layout", "gram", "n"])
+            total[lay] = total.get(lay, 0) + np.bincount(grams(cls), minlength=_N**3)
+        for lay, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([lay] * len(at)), pa.array([gram_name(i) for i in at.tolist()]), pa.array(n[at])], names=["layout", "gram", "n"])
 
 
 def _histogram(models: dict[str, Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: Counter = Counter()
+            total: dict[str, np.ndarray] = {}
             for cls, lay in zip(batch.column("cls").to_pylist(), batch.column("layout").to_pylist()):
-                for b in np.minimum(models[lay].windows(cls)[1] / BIN, BINS - 1).astype(int).tolist():
-                    total[lay, b] += 1
-            if total:
-                yield pa.record_batch([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["layout", "bin", "n"])
+                bins = np.minimum(models[lay].windows(cls)[1] / BIN, BINS - 1).astype("int64")
+                total[lay] = total.get(lay, 0) + np.bincount(bins, minlength=BINS)
+            for lay, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.record_batch([pa.array([lay] * len(at)), pa.array(at.astype("int32")), pa.array(n[at])], names=["layout", "bin", "n"])
 
     return run
 
