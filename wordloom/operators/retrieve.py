@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.session import materialise
+
 
 def retrieve(queries: DataFrame, rows: DataFrame, cap: int = 400, floor: float = 0.35) -> DataFrame:
     """query_id, row_id, score, coverage_ppm, accepted: each query's best row.
@@ -17,9 +19,10 @@ def retrieve(queries: DataFrame, rows: DataFrame, cap: int = 400, floor: float =
     query's distinct words, so no order of summing can move it; equal scores go to the lower row. Coverage counts
     all distinct words of the query, frequent ones too.
     """
-    q = queries.where("key is not null").select("query_id", "key").distinct()
-    r = rows.where("key is not null").select("row_id", "key").distinct()
-    n = rows.agg(F.count_distinct("row_id").alias("n")).scalar()
+    # Each side is read three times below, so both are written once.
+    q = materialise(queries.where("key is not null").select("query_id", "key").distinct(), "retrieve-queries")
+    r = materialise(rows.where("key is not null").select("row_id", "key").distinct(), "retrieve-rows")
+    n = r.select("row_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     df = r.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= cap)
     idf = df.select("key", F.round(F.log(n / F.col("df")) * 1_000_000).cast("bigint").alias("idf"))
     scored = q.join(r.join(idf, "key"), "key").groupBy("query_id", "row_id").agg(F.sum("idf").alias("score"))

@@ -331,7 +331,7 @@ add("idf_retrieve", retrieved, f"WITH {WRD}, {_WK} SELECT query_id, row_id, scor
 
 
 def _pairs(spark, d):
-    hit = retrieved(spark, d).where("accepted").select("query_id", "row_id")
+    hit = materialise(retrieved(spark, d).where("accepted").select("query_id", "row_id"), "retrieved")
     a, b = _rec(spark, d).withColumnRenamed("keys", "a"), _wit(spark, d).withColumnRenamed("keys", "b")
     return hit.join(a, "query_id").join(b, "row_id")
 

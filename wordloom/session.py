@@ -87,3 +87,27 @@ def latest_by(df: DataFrame, keys: list[str], order: str, payload: list[str]) ->
 def scalar_of(df: DataFrame) -> Column:
     """The only value of a one-row aggregate, as a scalar subquery: no cross join, no driver action."""
     return df.scalar()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application: they need not have it installed, and
+    need not run in the driver's folder."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="wordloom-"), "wordloom.zip")
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(place)
+    _shipped.add(app)
