@@ -150,3 +150,63 @@ def holdout(tokens: DataFrame, support: int = SUPPORT, purity: tuple[int, int] =
     tried = truths.groupBy("side").agg(F.sum("tokens").alias("tried"))
     done = best.where(ok).groupBy("side").agg(F.sum("tokens").alias("resolved"), F.coalesce(F.sum(F.when(F.col("winner") == F.col("truth"), F.col("tokens"))), F.lit(0)).alias("right"))
     return tried.join(done, "side", "left").select("side", "tried", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.coalesce("right", F.lit(0)).alias("right"))
+
+
+def seed_from_witness(words: DataFrame) -> DataFrame:
+    """key, form, match_id, row_id, pos of a witness's words (row_id, pos, form): an inventory for a collection without
+    a curated one, in the order of first appearance."""
+    rows = words.where("form is not null and form <> ''").select("row_id", "pos", "form", X.fold_key("form").alias("key"))
+    first = rows.groupBy("key", "form").agg(F.min(F.struct("row_id", "pos")).alias("at"))
+    return first.select("key", "form", X.stable_id("key", "form").alias("match_id"), F.col("at.row_id").alias("row_id"), F.col("at.pos").alias("pos"))
+
+
+def mint(tokens: DataFrame, inv: DataFrame) -> DataFrame:
+    """key, form, match_id of the marked forms among tokens (raw) that no entry has yet; freq 0 by definition."""
+    marked = tokens.where(X.mark_class("raw") != "none").select(X.fold_key("raw").alias("key"), F.col("raw").alias("form")).distinct()
+    return marked.join(inv.select("key", "form").distinct(), ["key", "form"], "left_anti").select("key", "form", X.stable_id("key", "form").alias("match_id"))
+
+
+def repair(tokens: DataFrame, support: int = 20, purity: tuple[int, int] = PURITY) -> DataFrame:
+    """record_id, i, was, now: tokens of tier 2 that strong votes of their neighbours contradict, the left pair before
+    the right one. tokens as for votes()."""
+    said = verdicts(votes(tokens), support, purity).select("side", "a", "b", "winner")
+    hit = bigrams(tokens.where("tier = 2")).join(said, ["side", "a", "b"])
+    now = hit.groupBy("record_id", "i", F.col("match_id").alias("was")).agg(F.min_by("winner", "side").alias("now"))
+    return now.where("was <> now")
+
+
+def most_plausible(tokens: DataFrame, inv: DataFrame, review: DataFrame) -> DataFrame:
+    """record_id, i, match_id: the most frequent reading that the review list allows for the token as written; where the
+    list knows the word but allows none of its readings, or does not know it, simply the most frequent."""
+    allowed = review.select("raw", "form", F.lit(0).alias("bad")).distinct()
+    cand = tokens.select("record_id", "i", "raw", "key").join(inv.select("key", "form", "match_id", "ord"), "key").join(allowed, ["raw", "form"], "left")
+    return cand.groupBy("record_id", "i").agg(F.min_by("match_id", F.struct(F.coalesce("bad", F.lit(1)), F.col("ord"))).alias("match_id"))
+
+
+def rescue(bound: DataFrame) -> DataFrame:
+    """Tokens of tiers 4 and 5 that carry marks of their own become tier 0. The ladder settles marked tokens first, so
+    this finds work only in tables bound elsewhere; it is not part of bind()."""
+    hit = F.col("tier").isin(4, 5) & (X.mark_class("raw") == "partial")
+    return bound.withColumns({"tier": F.when(hit, 0).otherwise(F.col("tier")), "confidence": F.when(hit, "medium").otherwise(F.col("confidence"))})
+
+
+def late_mint(bound: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Unbound tokens whose form has an analysis (column form) get an id and can be opened; their tier stays 5."""
+    has = analysed.select(F.col("form").alias("raw")).distinct().withColumn("__has", F.lit(True))
+    hit = (F.col("tier") == 5) & F.col("__has")
+    got = bound.join(has, "raw", "left")
+    mid = F.when(hit, X.stable_id(X.fold_key("raw"), "raw")).otherwise(F.col("match_id"))
+    return got.withColumns({"match_id": mid, "clickable": mid.isNotNull()}).drop("__has")
+
+
+def correct_from_witness(bound: DataFrame, witnessed: DataFrame) -> DataFrame:
+    """bound with surface: tier 1 words that a witness vowels otherwise show its vowelling on their own letters; id and
+    tier stay."""
+    got = bound.join(witnessed.groupBy("record_id", "i").agg(F.min("form").alias("seen")), ["record_id", "i"], "left")
+    return got.withColumn("surface", F.when((F.col("tier") == 1) & F.col("seen").isNotNull(), X.transfer_marks("raw", "seen")).otherwise(F.col("raw"))).drop("seen")
+
+
+def score_sample(sample: DataFrame, verdicts_: DataFrame, key: str, stratum: str, right: str) -> DataFrame:
+    """stratum, judged, right: a judged sample by stratum; verdicts other than yes and no are left out."""
+    both = sample.join(verdicts_.select(key, right), key)
+    return both.where(F.col(right).isin("yes", "no")).groupBy(stratum).agg(F.count(F.lit(1)).alias("judged"), F.count_if(F.col(right) == "yes").alias("right"))

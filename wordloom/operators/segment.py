@@ -110,3 +110,70 @@ def missing_numbers(records: DataFrame, collection: str, number: str, span: int
     first = F.col("lo") + F.col("b") * span
     every = blocks.select(collection, F.explode(F.sequence(first, F.least(first + span - 1, F.col("hi")))).alias("n"))
     return every.join(have, [collection, "n"], "left_anti").select(collection, F.col("n").alias("number"))
+
+
+def sticky_front(headings: DataFrame, key: str, order: str, depth: str, starts: str) -> DataFrame:
+    """headings with front: whether a heading lies in front matter. A heading marked by the boolean column `starts`
+    opens it at its depth; deeper ones after it stay in it, until one of that depth or less closes it.
+
+    The depth remembered makes this a state machine; it runs over one text's headings, never over a collection.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*headings.schema.fields, T.StructField("front", T.BooleanType())])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        since, out = None, []
+        for d, s in zip(part[depth], part[starts]):
+            inside = since is not None and d > since
+            if not inside:
+                since = d if s else None
+            out.append(bool(inside or s))
+        return part.assign(front=out)
+
+    return headings.groupBy(key).applyInPandas(run, schema)
+
+
+def close_paragraphs(df: DataFrame, key: str, text: str, kinds: dict[str, str]) -> DataFrame:
+    """Texts by a grammar of line patterns (top, sub, opener, note; a line is of the first that matches): key, rec,
+    layer, first_line, text, note.
+
+    A paragraph without an open record goes by what closed last: after a sub heading or a body it is a body, after a
+    top heading a sub heading, before anything front matter. A note closes the record and becomes its note. The rule
+    looks back at the last closed kind only. A text is one row and is read where it lies, without a shuffle; null
+    texts give nothing.
+    """
+    import re
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, rec int, layer string, first_line int, text string, note string"
+    tests = [(k, re.compile(v)) for k, v in kinds.items()]
+
+    def records(value: str) -> list[dict]:
+        recs: list[dict] = []
+        open_, closed = None, None
+        for line, value in enumerate(re.split(r"\r\n?|\n", value)):
+            kind = next((k for k, rx in tests if rx.search(value)), "paragraph")
+            if kind == "note" and recs:
+                recs[-1]["note"], open_, closed = value, None, "body"
+            elif kind in ("top", "sub"):
+                recs.append({"layer": kind, "first_line": line, "text": value, "note": None})
+                open_, closed = None, kind
+            elif kind == "opener" or open_ is None:
+                layer = "body" if kind == "opener" or closed in ("sub", "body") else "sub" if closed == "top" else "front"
+                recs.append({"layer": layer, "first_line": line, "text": value, "note": None})
+                open_, closed = (None if layer == "sub" else recs[-1]), layer
+            else:
+                open_["text"] += "\n" + value
+        return recs
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [{key: k, "rec": n, **r} for k, t in zip(part[key], part[text]) if t is not None for n, r in enumerate(records(t))]
+            yield pd.DataFrame(rows, columns=[key, "rec", "layer", "first_line", "text", "note"])
+
+    return df.select(key, text).mapInPandas(run, schema)
