@@ -30,6 +30,8 @@ from wordloom.session import materialise, table
 
 #: Characters of text after which a block is closed.
 BLOCK_CHARS = 4_000_000
+#: Partitions up to which blocks are spread one by one.
+MOST_PARTS = 2_000
 # Fixed value: the published pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -175,8 +177,11 @@ def _encode(df: DataFrame, key: str, text: str, vocab: Vocab, block_chars: int,
     known = held.select("word").distinct().mapInArrow(_encode_words(vocab), "word string, tokens binary")
     back = held.join(known, "word").select(F.col("block").alias("home"), "pos", "tokens")
     result = T.StructType([T.StructField("id", id_dt), T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    texts = blocks.select("block", "ids", "lens", "codes").groupBy("block")
-    return texts.cogroup(back.groupBy("home")).applyInArrow(_reassemble(id_type, counts_only), result)
+    # A hash puts several blocks into one task by chance while blocks are few; twice their number of partitions, up to
+    # MOST_PARTS, keeps it to one or two. Beyond that blocks are many and even out by themselves.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks.count(), MOST_PARTS))
+    texts = blocks.select("block", "ids", "lens", "codes").repartition(parts, "block").groupBy("block")
+    return texts.cogroup(back.repartition(parts, "home").groupBy("home")).applyInArrow(_reassemble(id_type, counts_only), result)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocab: Vocab | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
