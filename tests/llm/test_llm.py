@@ -288,6 +288,20 @@ def test_linkage_of_copies_goes_by_place(spark, monkeypatch):
     assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(30)}
 
 
+def test_linkage_of_copies_without_a_usable_place(spark, monkeypatch):
+    monkeypatch.setattr(K, "RARE", 4)
+    _, _, texts = world()
+    copy, around = " ".join(texts[0]), [" ".join(t) for t in texts[1:13]]
+    recs = [(f"r{i:03}", "c", i, i * 60, f"كتاب الباب {'ابتثجحخدذرزسشصضطظعغفقكلمنهوي'[i]}", copy) for i in range(28)]
+    recs += [(f"s{i:03}", "c", 100 + i, 600 + i + 1, None, t) for i, t in enumerate(around)]
+    # No place at all; a shortened title, and a longer one; a number 100 off, as are the rows around it.
+    rows = [("w-none", "e", None, None, copy), ("w-short", "e", None, "الباب ث", copy), ("w-long", "e", None, "تتمة كتاب الباب ج", copy), ("w-far", "e", 700, None, copy)]
+    rows += [(f"x{i:03}", "e", 700 + i + 1, None, t) for i, t in enumerate(around)]
+    got = K.link(spark.createDataFrame(recs, R_SCHEMA), spark.createDataFrame(rows, W_SCHEMA))
+    want = {("r000", "w-none"), ("r003", "w-short"), ("r004", "w-long"), ("r010", "w-far")} | {(f"s{i:03}", f"x{i:03}") for i in range(12)}
+    assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == want
+
+
 def test_linkage_empty(spark):
     r, w = spark.createDataFrame([], R_SCHEMA), spark.createDataFrame([], W_SCHEMA)
     assert K.link(r, w).count() == 0
