@@ -181,6 +181,20 @@ def test_mix_reaches_its_shares(spark, cell):
     assert rep["none"]["share_reached"] == 0
 
 
+def test_mix_lands_each_source_by_its_own_size(spark):
+    rng = random.Random(11)
+    rows = [(f"{s}{i}", s, int(rng.lognormvariate(6, 1)) + 1) for s, n in (("large", 1300), ("small", 75), ("mid", 400)) for i in range(n)]
+    sizes = spark.createDataFrame(rows, "id string, source string, n_tokens long")
+    tokens = {s: sum(n for _, x, n in rows if x == s) for s in ("large", "small", "mid")}
+    whole = sum(tokens.values())
+    targets = spark.createDataFrame([(s, n / whole, 3) for s, n in tokens.items()], "source string, target_share double, max_repeats int")
+    got = X.mix(sizes, targets, total=1.3 * whole, cell_rows=500)
+    taken = {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+    assert all(abs(taken[s] - 1.3 * n) <= max(0.0005 * n, 2) for s, n in tokens.items()), (taken, tokens)
+    again = X.mix(sizes.repartition(7), targets, total=1.3 * whole, cell_rows=500)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_mix_empty(spark):
     sizes = spark.createDataFrame([], "id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

@@ -6,8 +6,8 @@ floor(r) times, and the fraction left is each text's inclusion probability for o
 flight phase moves these probabilities through the null space of the constraints (tokens and number of texts of
 the source, weighted by probability) until all but two of a cell are 0 or 1. Cells are salted parts of a
 source, so that a source of any size is spread; what they leave open flies again, in fewer cells, until one
-cell a source is left, whose last two texts are the landing problem; exchanges within that cell make up for
-their rounding.
+cell a source is left, whose last two texts are the landing problem; exchanges within that cell, where a sample
+of the source's settled texts has waited, make up for their rounding. Each source lands by its own size.
 """
 
 from __future__ import annotations
@@ -93,19 +93,15 @@ def landing(size: list[float], prob: list[float], rounds: int = 64) -> list[floa
     return p.tolist()
 
 
-def _fly(land: bool):
-    """One cell's flight, and on its last one the landing. The cell's own name seeds it: a task run again after an
-    executor is lost chooses alike."""
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("key", kind="stable")
-        rng = random.Random(f"{cell['source'].iloc[0]}|{cell['cell'].iloc[0]}|{len(cell)}")
-        p = flight(cell["n"].tolist(), cell["p"].tolist(), rng)
-        if land:
-            p = landing(cell["n"].tolist(), p)
-        return cell.assign(p=p)
-
-    return run
+def _fly(cell: pd.DataFrame) -> pd.DataFrame:
+    """One cell's flight, and in a source's only cell the landing. The cell's own name seeds it: a task run again after
+    an executor is lost chooses alike."""
+    cell = cell.sort_values("key", kind="stable")
+    rng = random.Random(f"{cell['source'].iloc[0]}|{cell['cell'].iloc[0]}|{len(cell)}")
+    p = flight(cell["n"].tolist(), cell["p"].tolist(), rng)
+    if cell["cells"].iloc[0] <= 1:
+        p = landing(cell["n"].tolist(), p)
+    return cell.assign(p=p)
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -133,23 +129,34 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, cell_r
     units = rows.join(plan, "source").select(
         F.col("id"), "source", "n_tokens", "base", "p",
         F.xxhash64("id", "n_tokens").alias("key"),
-        F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / cell_rows).cast("bigint")).alias("cell"),
+        F.ceil(F.col("texts") / cell_rows).cast("bigint").alias("cells"),
+        (F.pmod(F.xxhash64("id", "source"), F.col("texts")) < cell_rows).alias("pool"),
+    ).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))
     )
     units = materialise(units, "mix-units")
     id_dt = units.schema["id"].dataType.simpleString()
-    schema = f"id {id_dt}, source string, n double, p double, key bigint, cell bigint"
-    open_ = units.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("id", "source", F.col("n_tokens").cast("double").alias("n"), "p", "key", "cell")
+    schema = f"id {id_dt}, source string, n double, p double, key bigint, cell bigint, cells bigint, pool boolean"
+    open_ = units.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("id", "source", F.col("n_tokens").cast("double").alias("n"), "p", "key", "cell", "cells", "pool")
     cells = math.ceil(most["n"] / cell_rows)
-    done = None
+    # Two open texts a cell are left: cell_rows / 2 cells of them make a full cell again.
+    fewer = F.ceil(F.col("cells") / (cell_rows // 2)).cast("bigint")
+    done = waiting = None
     while True:
-        last = cells <= 1
-        flown = materialise(open_.groupBy("source", "cell").applyInPandas(_fly(last), schema), "mix-flight")
-        settled = flown.where("p = 0 or p = 1")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
+        flown = materialise(open_.groupBy("source", "cell").applyInPandas(_fly, schema), "mix-flight")
+        if cells <= 1:
+            done = flown if done is None else done.unionByName(flown)
             break
-        # Two open texts a cell are left: cell_rows / 2 cells of them make a full cell again.
-        open_ = flown.where("p > 0 and p < 1").withColumn("cell", F.floor(F.col("cell") / (cell_rows // 2)).cast("bigint"))
+        # A source in one cell has landed. Of the others' settled texts some cell_rows a source wait for its last
+        # cell, where the landing exchanges them.
+        settled = F.col("p").isin(0.0, 1.0)
+        left = flown.where((F.col("cells") <= 1) | (settled & ~F.col("pool")))
+        done = left if done is None else done.unionByName(left)
+        pool = flown.where((F.col("cells") > 1) & settled & F.col("pool"))
+        waiting = pool if waiting is None else waiting.unionByName(pool)
+        waiting = waiting.withColumns({"cell": F.lit(0).cast("bigint"), "cells": fewer})
+        open_ = flown.where((F.col("cells") > 1) & ~settled).withColumns({"cell": F.floor(F.col("cell") / (cell_rows // 2)).cast("bigint"), "cells": fewer})
+        open_ = open_.unionByName(waiting.where("cells <= 1"))
+        waiting = waiting.where("cells > 1")
         cells = math.ceil(cells / (cell_rows // 2))
     extra = done.where("p = 1").select("id", "source", F.lit(1).alias("extra"))
     chosen = units.join(extra, ["id", "source"], "left")
