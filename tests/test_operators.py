@@ -216,6 +216,17 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.check_contract(spark.createDataFrame([(1,)], "a int"), T.StructType([T.StructField("b", T.StringType())])) == ["missing b", "extra a"]
 
 
+def test_input_manifest_covers_every_input(spark, sf):
+    import hashlib
+    import pathlib
+
+    import __spark_entry__ as entry
+
+    got = sorted((r["file"], r["bytes"], r["sha256"]) for r in entry.queries()["input_manifest"](spark, sf).collect())
+    files = [p for p in pathlib.Path(sf).rglob("*") if p.is_file()]
+    assert got == sorted((str(p.relative_to(sf)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files)
+
+
 def test_stream_counts_match_batch(spark, tmp_path, sf):
     from wordloom.functions import text as X
     from wordloom.streaming import upsert as U

@@ -126,7 +126,7 @@ add(
 add("sticky_front", lambda s, d: S.sticky_front(_records(s, d).where(F.col("layer").startswith("heading") | (F.col("layer") == "frontmatter")).select("corpus", F.col("kitab.idx").alias("part"), "seq", F.when(F.col("layer") == "heading_kitab", 1).otherwise(2).alias("depth"), (F.col("layer") == "frontmatter").alias("starts")).withColumn("text_key", F.concat_ws("|", "corpus", F.col("part").cast("string"))), "text_key", "seq", "depth", "starts").select("seq", "front"))
 add("close_paragraphs", lambda s, d: S.close_paragraphs(table(s, d, "documents"), "doc_id", "text", {"top": "^كتاب ", "sub": HEAD, "opener": OPEN, "note": r"^\[\d+\]"}).select("doc_id", "rec", "layer", "first_line", F.length("text").alias("chars"), F.length("note").alias("note")))
 add("parse_markup", lambda s, d: parsed(s, d))
-add("input_manifest", lambda s, d: manifest(s, f"{d}/mix_targets.parquet"))
+add("input_manifest", lambda s, d: manifest(s, d))
 
 
 def parsed(spark, d):

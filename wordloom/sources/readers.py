@@ -47,9 +47,12 @@ def witness_units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, sha256 of every file under path; contents are hashed by the executors and never returned."""
+    """file (below a folder its path there, else its name), bytes, sha256 of every file under path; contents are hashed by the
+    executors and never returned."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = path.rstrip("/") + "/"
+    file = F.when(F.col("path").contains(root), F.substring_index("path", root, -1)).otherwise(F.regexp_extract("path", r"([^/]+)$", 1))
+    return files.select(file.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
