@@ -239,3 +239,24 @@ def test_stream_counts_match_batch(spark, tmp_path, sf):
     per = spark.read.parquet(f"{tmp_path}/in").dropDuplicates(["id"]).select("id", F.explode(F.transform(X.tokens_of("textraw"), lambda t: X.fold_key(t["raw"]))).alias("w"))
     want = {r["w"]: (r["f"], r["d"]) for r in per.groupBy("w").agg(F.count(F.lit(1)).alias("f"), F.count_distinct("id").alias("d")).collect()}
     assert got == want
+
+
+def test_stream_loses_no_late_record(spark, tmp_path):
+    from datetime import datetime
+
+    from wordloom.streaming import upsert as U
+
+    d = lambda m: datetime(2024, m, 1)
+    batches = [
+        [("a", "كتب", d(10)), ("b", "قال", d(9)), ("g", "كتب", d(1))],
+        [("c", "كتب كتب", d(3)), ("a", "قديم", d(2)), ("b", "قلم", d(10)), ("n", "كتب", None)],
+        [("a", "كتب", d(10)), ("d", "قلم", d(3)), ("d", "قلم", d(3)), ("g", "", d(2)), (None, "كتب", d(3))],
+    ]
+    schema = "id string, textraw string, loaded_at timestamp"
+    # One run a batch, so that the batches come in this order.
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        U.append_batches(U.token_stream(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = sorted(map(tuple, U.totals(spark.read.parquet(f"{tmp_path}/out")).collect()))
+    assert got == [("قلم", 2, 2), ("كتب", 4, 3)]
