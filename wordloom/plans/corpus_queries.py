@@ -85,6 +85,11 @@ add(
     lambda s, d: L.postings(words(s, d), 20).select("key", "df", F.array_join("records", " ").alias("records")),
     f"WITH {WRD} SELECT key, count(DISTINCT record_id) AS df, string_agg(DISTINCT record_id, ' ' ORDER BY record_id) AS records FROM wrd GROUP BY key HAVING count(DISTINCT record_id) <= 20",
 )
+add(
+    "retrieval_postings",
+    lambda s, d: L.postings(words(s, d), 400).select("key", "df", F.array_join("records", " ").alias("records")),
+    f"WITH {WRD} SELECT key, count(DISTINCT record_id) AS df, string_agg(DISTINCT record_id, ' ' ORDER BY record_id) AS records FROM wrd GROUP BY key HAVING count(DISTINCT record_id) <= 400",
+)
 add(
     "inverted_index",
     lambda s, d: L.inverted_index(words(s, d)).select("corpus", "key", "seq", "delta", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions")),
