@@ -90,3 +90,14 @@ def test_configuration(tmp_path):
     (tmp_path / "other.json").write_text('{"id": "misbah"}', "utf-8")
     with pytest.raises(ValueError):
         config.load(f"{tmp_path}/other.json")
+
+
+def test_every_particle_governs_its_case(spark):
+    genitive = "من في على عن إلى الى مع عند بين لدى حتى منذ خلال قبل بعد فوق تحت دون سوى نحو".split()
+    accusative = "إن أن كأن لكن لعل ليت إنما".split()
+    key = {r["w"]: r["k"] for r in spark.createDataFrame([(w,) for w in genitive + accusative], "w string").select("w", X.fold_key("w").alias("k")).collect()}
+    assert {key[w] for w in genitive} == set(B.GENITIVE) and {key[w] for w in accusative} == set(B.ACCUSATIVE)
+    inv = B.inventory(spark.createDataFrame([("u", "بيت", "بَيْتُ", 9), ("i", "بيت", "بَيْتِ", 1), ("a", "بيت", "بَيْتَ", 1)], "match_id string, search_key string, vocalized string, freq long"))
+    toks = spark.createDataFrame([(f"{n}{w}", i, x) for n, ws in (("g", genitive), ("a", accusative)) for w in ws for i, x in enumerate((w, "بيت"))], "record_id string, i int, raw string")
+    got = {r["record_id"]: (r["match_id"], r["tier"]) for r in B.bind(toks, inv).where("i = 1").collect()}
+    assert got == {f"g{w}": ("i", 3) for w in genitive} | {f"a{w}": ("a", 3) for w in accusative}

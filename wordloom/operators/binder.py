@@ -26,8 +26,8 @@ TIERS = [
 ]
 SUPPORT, PURITY = 4, (9, 10)
 # Particles that govern the genitive and the accusative.
-GENITIVE = ("من", "الي", "عن", "علي", "في", "بين", "عند", "قبل", "بعد")
-ACCUSATIVE = ("ان", "لكن", "لعل", "ليت", "كان")
+GENITIVE = ("من", "في", "علي", "عن", "الي", "مع", "عند", "بين", "لدي", "حتي", "منذ", "خلال", "قبل", "بعد", "فوق", "تحت", "دون", "سوي", "نحو")
+ACCUSATIVE = ("ان", "كان", "لكن", "لعل", "ليت", "انما")
 
 
 @dataclass(frozen=True)
