@@ -293,8 +293,10 @@ def test_linkage(spark):
     assert all(0 < x["confidence"] <= 1 for x in got.collect())
 
 
-def test_linkage_of_copies_goes_by_place(spark, monkeypatch):
-    monkeypatch.setattr(K, "RARE", 4)
+@pytest.mark.parametrize("bound, crowd", [(1024, 100_000), (16, 100_000), (16, 20)])
+def test_linkage_of_copies_goes_by_place(spark, monkeypatch, bound, crowd):
+    monkeypatch.setattr(K, "BOUND", bound)
+    monkeypatch.setattr(K, "CROWD", crowd)
     _, _, texts = world()
     recs = [(f"r{i:03}", "c", i, i * 60, f"باب {i}", " ".join(texts[0])) for i in range(30)]
     rows = [(f"w{i:03}", "e", i * 60 + 1, None, " ".join(texts[0])) for i in range(30)]
@@ -302,8 +304,29 @@ def test_linkage_of_copies_goes_by_place(spark, monkeypatch):
     assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(30)}
 
 
-def test_linkage_of_copies_without_a_usable_place(spark, monkeypatch):
-    monkeypatch.setattr(K, "RARE", 4)
+@pytest.mark.parametrize("n", [60, 70, 1500])
+def test_linkage_of_copies_without_places_takes_the_lowest(spark, n):
+    _, _, texts = world()
+    recs = [(f"r{i:04}", "c", i, None, None, " ".join(texts[0])) for i in range(n)]
+    got = K.link(spark.createDataFrame(recs, R_SCHEMA), spark.createDataFrame([("w0", "e", None, None, " ".join(texts[0]))], W_SCHEMA))
+    assert [(x["record_id"], x["witness_id"]) for x in got.collect()] == [("r0000", "w0")]
+
+
+@pytest.mark.parametrize("crowd", [100_000, 150])
+def test_linkage_of_near_copies_in_bounded_edges(spark, monkeypatch, crowd):
+    monkeypatch.setattr(K, "CROWD", crowd)
+    rng, vocab, texts = world()
+    changed = lambda k: " ".join(w if i != 15 else f"{vocab[k]}{vocab[k + 1]}" for i, w in enumerate(texts[0]))
+    recs = [(f"r{i:03}", "c", i, i + 1, None, changed(i)) for i in range(200)]
+    rows = [(f"w{i:03}", "e", i + 1, None, changed(i) if i % 2 else " ".join(texts[0][:14])) for i in range(200)]
+    got = K.link(spark.createDataFrame(recs, R_SCHEMA), spark.createDataFrame(rows, W_SCHEMA))
+    assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(200)}
+
+
+@pytest.mark.parametrize("bound, crowd", [(1024, 100_000), (16, 100_000), (16, 20)])
+def test_linkage_of_copies_without_a_usable_place(spark, monkeypatch, bound, crowd):
+    monkeypatch.setattr(K, "BOUND", bound)
+    monkeypatch.setattr(K, "CROWD", crowd)
     _, _, texts = world()
     copy, around = " ".join(texts[0]), [" ".join(t) for t in texts[1:13]]
     recs = [(f"r{i:03}", "c", i, i * 60, f"كتاب الباب {'ابتثجحخدذرزسشصضطظعغفقكلمنهوي'[i]}", copy) for i in range(28)]
