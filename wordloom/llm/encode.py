@@ -5,7 +5,8 @@ list of its distinct words, so that a word leaves a block once however often it
 blocks meet in one shuffle, each distinct word is encoded once, its ids are joined back to the blocks that
 hold it, and every block puts its texts together again by position.
 
-No word can be hot: it comes at most once a block. Blocks are bounded in characters (one longer text is a block
+A word comes at most once a block, so a word that every text holds has one row a block: 1 / 4,000,000 of the
+characters. Blocks are bounded in characters (one longer text is a block
 of its own), so no task holds more than a block.
 """
 
@@ -13,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+import itertools
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +32,8 @@ from wordloom.session import materialise, table
 
 #: Characters of text after which a block is closed.
 BLOCK_CHARS = 4_000_000
-#: Partitions up to which blocks are spread one by one.
-MOST_PARTS = 2_000
+#: Blocks that one task puts together, where there are so many that they even out (32 MB of text).
+BLOCKS_A_TASK = 8
 # Fixed value: the published pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -78,6 +80,8 @@ def _blocks(vocab: Vocab, block_chars: int, id_type: pa.DataType):
         import regex
 
         split = regex.compile(vocab.pattern).findall
+        # A block is named by its task's partition and its turn there, so a task run again names alike.
+        task, turn = TaskContext.get(), itertools.count()
         words: dict[str, int] = {}
         codes: list[np.ndarray] = []
         ids, lens, chars = [], [], 0
@@ -89,7 +93,7 @@ def _blocks(vocab: Vocab, block_chars: int, id_type: pa.DataType):
                 flat = flat.astype("uint16")
             row = pa.record_batch(
                 [
-                    pa.array([uuid.uuid4().hex]),
+                    pa.array([f"{task.partitionId() if task else 0}-{next(turn)}"]),
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([lens], pa.list_(pa.int32())),
                     pa.array([flat.tobytes()], pa.binary()),
@@ -177,9 +181,10 @@ def _encode(df: DataFrame, key: str, text: str, vocab: Vocab, block_chars: int,
     known = held.select("word").distinct().mapInArrow(_encode_words(vocab), "word string, tokens binary")
     back = held.join(known, "word").select(F.col("block").alias("home"), "pos", "tokens")
     result = T.StructType([T.StructField("id", id_dt), T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    # A hash puts several blocks into one task by chance while blocks are few; twice their number of partitions, up to
-    # MOST_PARTS, keeps it to one or two. Beyond that blocks are many and even out by themselves.
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks.count(), MOST_PARTS))
+    # Few blocks get twice their number of partitions, as a hash puts several into one by chance; many even out by
+    # themselves. A task has some BLOCKS_A_TASK blocks at most, however many there are.
+    n = blocks.count()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * n, 2_000 + n // BLOCKS_A_TASK))
     texts = blocks.select("block", "ids", "lens", "codes").repartition(parts, "block").groupBy("block")
     return texts.cogroup(back.repartition(parts, "home").groupBy("home")).applyInArrow(_reassemble(id_type, counts_only), result)
 
