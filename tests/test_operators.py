@@ -167,6 +167,13 @@ def test_align_is_longest_block_first(spark):
     assert [tuple(m) for m in R.align(df).first()["blocks"]] == [(0, 0, 2), (3, 2, 2)]
 
 
+def test_digest_of_a_million_rows_in_a_group(spark):
+    rows = spark.range(1_000_000).select(F.lit("g").alias("g"), "id")
+    one, two = (M.content_digest(d, ["g"], ["id"]).first() for d in (rows, rows.repartition(7)))
+    assert one == two and one["rows"] == 1_000_000 and 0 <= one["digest"] < M.DIGEST_MOD
+    assert M.content_digest(rows.where("id > 0"), ["g"], ["id"]).first()["digest"] != one["digest"]
+
+
 def test_merge_is_idempotent_and_digest_ignores_order(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, s string")
     top = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")

@@ -48,11 +48,17 @@ def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
+#: The prime by which digests are reduced, so that a sum of any number of rows fits a BIGINT.
+DIGEST_MOD = (1 << 61) - 1
+
+
 def content_digest(rows: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
-    """Group, rows, digest: equal for equal multisets of rows in any order. A sum of 48-bit row hashes, so partial
-    sums combine and no list of rows is ever held."""
+    """Group, rows, digest: equal for equal multisets of rows in any order. A sum of 48-bit row hashes modulo a prime:
+    partial sums combine, no list of rows is ever held, and the sum is a 38-digit decimal, room for 10^24 rows."""
     row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in cols]))
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")).alias("digest"))
+    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(28,0)")
+    whole = F.pmod(F.sum(part), F.lit(DIGEST_MOD).cast("decimal(38,0)")).cast("bigint")
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), whole.alias("digest"))
 
 
 def shard_plan(items: DataFrame, hash_: Column, size: Column, budget: int, most: int = 1024) -> DataFrame:

@@ -455,7 +455,7 @@ SELECT lane_root, conflict, CASE WHEN NOT conflict THEN l END AS lemma, CASE WHE
 add(
     "content_digest",
     lambda s, d: M.content_digest(table(s, d, "surface"), ["corpus"], ["match_id", "search_key", "vocalized", "freq"]),
-    "WITH h AS (SELECT corpus, md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in ("match_id", "search_key", "vocalized", "freq")) + ")) m FROM surface) SELECT corpus, count(*) AS rows, CAST(sum(('0x' || substr(m, 1, 12))::BIGINT) AS BIGINT) AS digest FROM h GROUP BY corpus",
+    "WITH h AS (SELECT corpus, md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in ("match_id", "search_key", "vocalized", "freq")) + ")) m FROM surface) SELECT corpus, count(*) AS rows, CAST(sum(('0x' || substr(m, 1, 12))::BIGINT) % 2305843009213693951 AS BIGINT) AS digest FROM h GROUP BY corpus",
 )
 add(
     "shard_plan",
