@@ -10,7 +10,7 @@ from wordloom.operators import binder as B
 from wordloom.operators import segment as S
 from wordloom.plans.corpus_queries import BIG, BND, NBR, SUR, WRD, _nb, bound, entries, witnessed, words
 from wordloom.plans.record_queries import HEAD, OPEN
-from wordloom.plans.text_queries import FOLD, REC, _records
+from wordloom.plans.text_queries import DEDIAC, FOLD, LET, MRK, REC, _records
 from wordloom.profiles import ARABIC as A
 from wordloom.session import latest_by, table
 from wordloom.sources.readers import manifest
@@ -117,8 +117,27 @@ add(
     f"""WITH {SUR}, k AS (SELECT match_id, nullif(regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g'), '') a, nullif(lane_root, '') b, nullif({FOLD.format('lemma')}, '') c FROM sur)
 SELECT match_id, coalesce(a, b, c) AS shown, CASE WHEN a IS NOT NULL THEN 'curated' WHEN b IS NOT NULL THEN 'dictionary' WHEN c IS NOT NULL THEN 'lemma' END AS basis FROM k""",
 )
-add("compatible_filter", lambda s, d: entries(s, d, "vocalized", "lemma").select("match_id", N.compatible("vocalized", "lemma").alias("ok")))
-add("recover_masked", lambda s, d: entries(s, d, "root", "lemma").select("match_id", N.recover_masked(F.regexp_replace(X.root_key("root"), "[وي]", "#"), X.dediac("lemma")).alias("root")))
+_VOW = "list_transform({}, lambda m: array_to_string(list_sort(list_distinct(string_split(replace(m, 'ّ', ''), ''))), ''))"
+add(
+    "compatible_filter",
+    lambda s, d: entries(s, d, "vocalized", "lemma").select("match_id", N.compatible("vocalized", "lemma").alias("ok")),
+    f"""WITH {SUR}, c AS (SELECT match_id, coalesce({LET.format('vocalized')}, []) AS fl, coalesce({MRK.format('vocalized')}, []) AS fm, coalesce({LET.format('lemma')}, []) AS ll, coalesce({MRK.format('lemma')}, []) AS lm FROM sur),
+v AS (SELECT *, {_VOW.format('fm')} AS fv, {_VOW.format('lm')} AS lv FROM c)
+SELECT match_id, len(fl) = 0 OR len(ll) = 0 OR len(list_filter(range(0, len(fl) - len(ll) + 1), lambda o: len(list_filter(range(1, len(ll) + 1), lambda j: NOT (fl[o + j] = ll[j] AND contains(fm[o + j], 'ّ') = contains(lm[j], 'ّ')
+AND (j = len(ll) OR fv[o + j] = '' OR lv[j] = '' OR fv[o + j] = lv[j])))) = 0)) > 0 AS ok FROM v""",
+)
+_MASKED = f"regexp_replace(regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g'), '[وي]', '#', 'g')"
+_HID = "[" + ", ".join(f"regexp_extract(b, p || '()()()()()()()()', {i})" for i in range(1, 9)) + "]"
+add(
+    "recover_masked",
+    lambda s, d: entries(s, d, "root", "lemma").select("match_id", N.recover_masked(F.regexp_replace(X.root_key("root"), "[وي]", "#"), "lemma").alias("root")),
+    f"""WITH {SUR}, r AS (SELECT match_id, {_MASKED} AS r, regexp_replace({DEDIAC.format("coalesce(lemma, '')")}, '\\s', '', 'g') AS b FROM sur),
+u AS (SELECT *, regexp_extract_all(r, '(#*[^#]|#+$)', 1) AS u FROM r),
+q AS (SELECT *, '^' || array_to_string(list_transform(u, lambda x: CASE WHEN replace(x, '#', '') = '' THEN '(.*)$' ELSE '([^' || replace(x, '#', '') || ']*)' || replace(x, '#', '') END), '') AS p FROM u),
+h AS (SELECT *, list_transform({_HID}, lambda x: translate(x, '{A.hamza_seats[0]}ى', '{A.hamza_seats[1]}ي')) AS h FROM q),
+k AS (SELECT *, list_transform(u, lambda x, i: CASE WHEN NOT contains(x, '#') THEN x WHEN h[i] IN ('ء', 'و', 'ي') AND (i = 1 OR length(x) - length(replace(x, '#', '')) = 1) THEN repeat(h[i], length(x) - length(replace(x, '#', ''))) || replace(x, '#', '') END) AS k FROM h)
+SELECT match_id, CASE WHEN NOT contains(r, '#') THEN r WHEN regexp_matches(b, p) AND len(list_filter(k, lambda x: x IS NULL)) = 0 THEN array_to_string(k, '') END AS root FROM k""",
+)
 add(
     "witness_disagreement",
     lambda s, d: bound(s, d).join(witnessed(s, d), ["record_id", "i"]).where("tier = 1 and raw <> form").groupBy("raw", "form").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "raw", "form").limit(5),

@@ -61,7 +61,16 @@ add(
     _q(_surface("search_key", "vocalized"), id=lambda: X.stable_id("search_key", "vocalized")),
     _sql_surface("search_key, vocalized", "search_key || '#' || left(sha1(vocalized), 6) AS id"),
 )
-add("root_variants", lambda s, d: table(s, d, "surface").select("root").distinct().select("root", F.array_join(X.root_variants(X.root_key("root")), "|").alias("variants")))
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_GEM = "[r] || CASE WHEN length(r) = 3 AND r[2] = r[3] THEN [r[1:2]] ELSE [] END || CASE WHEN length(r) = 3 AND r[1] = r[2] THEN [r[2:3]] ELSE [] END"
+_WEAK = f"flatten(list_transform(g, lambda r: [r] || list_transform(list_filter(['{"', '".join(A.weak_ends)}'], lambda b: right(r, 1) IN ('{"', '".join(A.weak_ends)}') AND b <> right(r, 1)), lambda b: left(r, length(r) - 1) || b)))"
+_SEAT = f"flatten(list_transform(w, lambda r: [r] || flatten(list_transform(list_filter(range(1, length(r) + 1), lambda i: contains('{A.seats}', r[i])), lambda i: list_transform(list_filter(string_split('{A.seats}', ''), lambda s: s <> r[i]), lambda s: r[1:i - 1] || s || r[i + 1:])))))"
+add(
+    "root_variants",
+    lambda s, d: table(s, d, "surface").select("root").distinct().select("root", F.array_join(X.root_variants(X.root_key("root")), "|").alias("variants")),
+    f"""WITH k AS (SELECT DISTINCT root, regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g') AS r FROM surface), g AS (SELECT root, r, {_GEM} AS g FROM k),
+w AS (SELECT root, r, {_WEAK} AS w FROM g), v AS (SELECT root, r, list_filter({_SEAT}, lambda x: x <> '') AS v FROM w) SELECT root, CASE WHEN r IS NOT NULL THEN array_to_string({_ONCE.format('v')}, '|') END AS variants FROM v""",
+)
 add(
     "split_marks",
     _q(_surface("vocalized"), letters=lambda: F.array_join(X.letters("vocalized"), ""), marks=lambda: F.array_join(X.letter_marks("vocalized"), "|")),
@@ -141,11 +150,48 @@ add(
     .select("search_key", F.col("c.form").alias("form"), F.col("c.n").alias("n")),
     "SELECT search_key, trim(vocalized, ' ') AS form, CAST(max(freq) AS INTEGER) AS n FROM surface WHERE search_key IS NOT NULL AND vocalized IS NOT NULL AND freq IS NOT NULL GROUP BY search_key, vocalized",
 )
+#: A slot that stands in this part of the glosses of several slots is an affix: at most AFFIX_PART times as many affixes
+#: as a gloss has slots, whatever the data.
+AFFIX_PART = 10
+PRONOUNS = r"^(?i:i|we|you|he|she|it|they|them|us|me|him|her|its?|my|our|your|their)\b"
+
+
+def gloss_affixes(rows, gloss):
+    """The names of the slots that stand beside many others, as a one-row array."""
+    several = rows.select(gloss).where(F.col(gloss).contains(" + ")).distinct()
+    names = several.select(gloss, F.explode(X.gloss_slots(gloss)).alias("x")).select(gloss, X.slot_name(F.col("x")).alias("name")).where("name <> ''").distinct()
+    total = several.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * AFFIX_PART >= total).agg(F.collect_list("name").alias("names"))
+
+
+def _glosses(s, d):
+    rows = _surface("gloss_msa")(s, d)
+    listed = rows.withColumn("affixes", gloss_affixes(rows, "gloss_msa").scalar())
+    g = listed.withColumn("g", X.parse_gloss("gloss_msa", F.col("affixes"), PRONOUNS))
+    return g.where("g is not null").select(
+        "match_id", F.array_join("g.senses", ";").alias("senses"), F.array_join("g.features", ".").alias("features"), F.array_join("g.before", "|").alias("before"), F.array_join("g.after", "|").alias("after"), F.col("g.stem_pos").alias("stem_pos")
+    )
+
+
+_TOLD = "list_filter(list_transform({}, lambda y: trim(y)), lambda y: y <> '')"
+_PLAIN = r"trim(regexp_replace(regexp_replace(s, '<[^>]+>|\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g'))"
+_SENSES = _TOLD.format(f"string_split(CASE WHEN {_PLAIN} <> '___' THEN {_PLAIN} ELSE '' END, ';')")
+_FEATS = _TOLD.format(r"string_split(array_to_string(regexp_extract_all(s, '\[([^\]]*)\]', 1), '.'), '.')")
+_SLOTS = f"list_transform(string_split(trim(gloss_msa), ' + '), lambda s: {{{{'n': {_SENSES}, 'f': {_FEATS}, 'p': nullif(regexp_extract(s, '<([^>]+)>', 1), '')}}}})".replace("{{", "{").replace("}}", "}")
+_NAME = "array_to_string({}.n, ';')"
+_ALONE = rf"(len(l[i].n) = 1 AND regexp_matches(l[i].n[1], '{PRONOUNS}') AND (l[i].p IS NOT NULL OR len(string_split(l[i].n[1], ' ')) <= 2))"
 add(
     "parse_gloss",
-    lambda s, d: _surface("gloss_msa")(s, d).withColumn("g", X.parse_gloss("gloss_msa")).where("g is not null").select(
-        "match_id", F.array_join("g.senses", ";").alias("senses"), F.array_join("g.features", ".").alias("features"), F.array_join("g.before", "|").alias("before"), F.array_join("g.after", "|").alias("after"), F.col("g.stem_pos").alias("stem_pos")
-    ),
+    _glosses,
+    f"""WITH r AS (SELECT DISTINCT match_id, gloss_msa FROM surface WHERE gloss_msa IS NOT NULL), q AS (SELECT match_id, gloss_msa, {_SLOTS} AS l FROM r),
+several AS (SELECT DISTINCT gloss_msa, l FROM q WHERE contains(gloss_msa, ' + ')), nm AS (SELECT DISTINCT gloss_msa, {_NAME.format('u')} AS nm FROM (SELECT gloss_msa, unnest(l) AS u FROM several)),
+af AS (SELECT coalesce(list(nm), []) AS af FROM (SELECT nm, count(*) AS n FROM nm WHERE nm <> '' GROUP BY nm) WHERE n * {AFFIX_PART} >= (SELECT count(*) FROM several)),
+t AS (SELECT q.*, list_filter(range(1, len(l) + 1), lambda i: len(l[i].n) > 0) AS told, af FROM q, af),
+k AS (SELECT *, list_filter(told, lambda i: NOT (list_contains(af, {_NAME.format('l[i]')}) OR {_ALONE})) AS stems FROM t),
+w AS (SELECT match_id, l, CASE WHEN len(stems) > 0 THEN stems[1] ELSE list_sort(list_transform(told, lambda i: {{'a': length({_NAME.format('l[i]')}), 'i': i}}))[-1].i END AS sp FROM k WHERE len(told) > 0)
+SELECT match_id, {_NAME.format('l[sp]')} AS senses, array_to_string(flatten(list_transform(l, lambda x: x.f)), '.') AS features,
+array_to_string(list_filter(list_transform(l[1:sp - 1], lambda x: {_NAME.format('x')}), lambda x: x <> ''), '|') AS before,
+array_to_string(list_filter(list_transform(l[sp + 1:], lambda x: {_NAME.format('x')}), lambda x: x <> ''), '|') AS after, l[sp].p AS stem_pos FROM w""",
 )
 add(
     "keyword_clean",
@@ -244,7 +290,16 @@ add(
     lambda s, d: _doc(s, d).where("text is not null").select("doc_id", F.array_join(F.transform(X.numbers_in("text", r"\(([0-9, ]{1,9})\)"), lambda x: x.cast("string")), ",").alias("refs")).where("refs <> ''"),
     r"WITH r AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(regexp_extract(text, '\(([0-9, ]{1,9})\)', 1), '([0-9]+)', 1), lambda x: (x::INT)::VARCHAR), ',') refs FROM documents WHERE text IS NOT NULL) SELECT * FROM r WHERE refs <> ''",
 )
-add("context_fold", lambda s, d: _doc(s, d).select("doc_id", F.md5(X.context_fold("text")).alias("h")))
+_RUN, _OTH = A.run_marks, "".join(m for m in A.run_marks if m not in A.plain_vowels)
+_FORMS = f"translate(text, '{A.letter_forms[0]}', '{A.letter_forms[1]}')"
+# A stretch ends at a character outside the block; RE2 has no look-ahead, so that character is captured and put back.
+_LED = f"regexp_replace({_FORMS}, '({A.kasra}[{_OTH}]*)[{A.placed_yeh}]([{_RUN}]*)([^\u0600-\u06ff]|$)', '\\1{A.yeh_dotted}\\2\\3', 'g')"
+_LAST = f"regexp_replace({_LED}, '[{A.placed_yeh}]([{_RUN}]*)([^\u0600-\u06ff]|$)', '{A.yeh_bare}\\1\\2', 'g')"
+add(
+    "context_fold",
+    lambda s, d: _doc(s, d).select("doc_id", F.md5(X.context_fold("text")).alias("h")),
+    f"SELECT doc_id, md5(translate({_LAST}, '{A.placed_yeh}', '{A.yeh_dotted * len(A.placed_yeh)}')) AS h FROM documents",
+)
 add(
     "cluster_check",
     lambda s, d: _surface("gloss_msa")(s, d).select("match_id", X.cluster_plausible(F.regexp_extract("gloss_msa", "([A-Za-z]+)$", 1)).alias("ok")),
