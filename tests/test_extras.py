@@ -11,6 +11,7 @@ from wordloom.functions import text as X
 from wordloom.operators import analyse as N
 from wordloom.operators import binder as B
 from wordloom.operators import segment as S
+from wordloom.profiles import ARABIC
 
 
 @pytest.mark.parametrize(
@@ -59,18 +60,79 @@ def test_close_paragraphs(spark):
     ]
 
 
-def test_binder_extras(spark):
-    inv = B.inventory(spark.createDataFrame([("a", "كتب", "كَتَبَ", 9), ("b", "كتب", "كُتُب", 3)], "match_id string, search_key string, vocalized string, freq long"))
-    toks = spark.createDataFrame([("r", 0, "كتب", "كتب"), ("r", 1, "كتب", "كتب")], "record_id string, i int, raw string, key string")
-    none = spark.createDataFrame([], "raw string, form string")
-    assert {r["match_id"] for r in B.most_plausible(toks, inv, none).collect()} == {"a"}
-    assert {r["match_id"] for r in B.most_plausible(toks, inv, spark.createDataFrame([("كتب", "كُتُب")], "raw string, form string")).collect()} == {"b"}
-    bound = spark.createDataFrame([("r", 0, "اللّه", None, 5, "none"), ("r", 1, "كتب", "a", 1, "high")], "record_id string, i int, raw string, match_id string, tier int, confidence string")
-    assert [r["tier"] for r in B.rescue(bound).orderBy("i").collect()] == [0, 1]
-    got = B.late_mint(bound, spark.createDataFrame([("اللّه",)], "form string")).orderBy("i").collect()
-    assert got[0]["match_id"].startswith("الله#") and got[0]["clickable"] and got[0]["tier"] == 5 and got[1]["match_id"] == "a"
-    seen = spark.createDataFrame([("r", 1, "كَتَبَ"), ("r", 0, "x")], "record_id string, i int, form string")
-    assert [r["surface"] for r in B.correct_from_witness(bound, seen).orderBy("i").collect()] == ["اللّه", "كَتَبَ"]
+READING = "struct<id: string, form: string>"
+ENTRIES = "match_id string, search_key string, vocalized string, freq long, voc_source string"
+
+
+def ladder(spark, rows, entries, seen=None, **more):
+    """{(record, i): row} of bind() over records given as lists of words."""
+    inv = B.inventory(spark.createDataFrame(entries, ENTRIES))
+    toks = spark.createDataFrame([(r, i, w) for r, ws in rows.items() for i, w in enumerate(ws)], "record_id string, i int, raw string")
+    wit = None if seen is None else spark.createDataFrame(seen, "record_id string, i int, seen string, size int, ambiguous boolean")
+    return {(r["record_id"], r["i"]): r for r in B.bind(toks, inv, witnessed=wit, **more).collect()}
+
+
+TWO = [("a", "كتب", "كَتَبَ", 9, None), ("b", "كتب", "كُتُب", 3, None)]
+
+
+@pytest.mark.parametrize("strict, tier", [(True, 1), (False, 2)])
+def test_ladder_single_readings(spark, strict, tier):
+    got = ladder(spark, {"r": ["قلم", "بيت", "دار"]}, [("q", "قلم", "قَلَمٌ", 3, "aligned:3"), ("y", "بيت", "بَيْتٌ", 3, "aligned:1,lexicon_x:2")], [("r", 0, "قَلَمٍ", 3, False)], strict=strict)
+    assert (got["r", 0]["tier"], got["r", 0]["surface"], got["r", 0]["match_id"] == "q") == (tier, "قَلَمٍ", strict)
+    assert (got["r", 1]["tier"], got["r", 1]["confidence"]) == (1, "medium") and (got["r", 2]["tier"], got["r", 2]["clickable"]) == (5, False)
+
+
+def test_ladder_marked_and_minted(spark):
+    got = ladder(spark, {"r": ["كَتَبَ", "كَتب", "قَدَمٌ"]}, TWO)
+    assert [(got["r", i]["tier"], got["r", i]["confidence"], got["r", i]["surface"]) for i in range(3)] == [(0, "high", "كَتَبَ"), (0, "medium", "كَتب"), (0, "high", "قَدَمٌ")]
+    assert got["r", 0]["match_id"] == "a" and got["r", 2]["match_id"].startswith("قدم#")
+
+
+def test_ladder_blocks(spark):
+    seen = [("r", 0, "كُتُب", 2, True), ("r", 1, "كُتُب", 2, False), ("r", 2, "كُتِبَ", 2, False), ("s", 0, "كُتِبَ", 3, False)]
+    got = ladder(spark, {"r": ["كتب", "كتب", "كتب"], "s": ["كتب"]}, TWO, seen)
+    assert [(got["r", i]["tier"], got["r", i]["match_id"], got["r", i]["undetermined"]) for i in (0, 1)] == [(2, "b", True), (2, "b", False)]
+    # A form that a trusted block attests is minted for all, so the short block finds it too.
+    assert got["s", 0]["tier"] == 2 and got["s", 0]["match_id"] == got["r", 2]["match_id"] and got["r", 2]["tier"] == 2
+    bare = ladder(spark, {"r": ["كتب", "كتب"]}, TWO, [("r", 0, "كُتُب", 2, False), ("r", 1, "كُتُّب", 1, False)], curated=False)
+    assert bare["r", 0]["undetermined"] and bare["r", 1]["tier"] == 2
+
+
+def test_ladder_override_beats_the_witness(spark):
+    son = [("u", "بن", "بْنُ", 9, None), ("i", "بن", "بْنِ", 1, None)]
+    got = ladder(spark, {"r": ["عن", "زيد", "بن"], "s": ["قال", "زيد", "بن"]}, son, [("r", 2, "بْنُ", 5, False), ("s", 2, "بْنُ", 5, False)])
+    assert (got["r", 2]["tier"], got["r", 2]["match_id"]) == (3, "i") and (got["s", 2]["tier"], got["s", 2]["match_id"]) == (2, "u")
+
+
+def test_ladder_repairs_only_what_is_undetermined(spark):
+    rows = {f"v{i}": ["رسول", "كتب"] for i in range(20)} | {"bad": ["رسول", "كتب"], "sure": ["رسول", "كتب"], "open": ["رسول", "كتب"]}
+    seen = [(f"v{i}", 1, "كُتُب", 4, False) for i in range(20)] + [("bad", 1, "كَتَبَ", 2, True), ("sure", 1, "كَتَبَ", 4, False)]
+    got = ladder(spark, rows, TWO, seen)
+    assert [(got[k, 1]["tier"], got[k, 1]["match_id"]) for k in ("bad", "sure", "open")] == [(3, "b"), (2, "a"), (3, "b")]
+    few = ladder(spark, {k: v for k, v in rows.items() if k not in ("v0", "v1", "sure")}, TWO, [x for x in seen if x[0] not in ("v0", "v1", "sure")])
+    assert (few["bad", 1]["tier"], few["bad", 1]["match_id"]) == (2, "a")
+
+
+def test_ladder_plausible_choice_and_corrections(spark):
+    review = spark.createDataFrame([("كتب", "كُتُب"), ("x", "y")], "raw string, form string")
+    assert ladder(spark, {"r": ["كتب"]}, TWO, review=review)["r", 0]["match_id"] == "b"
+    assert ladder(spark, {"r": ["كتب"]}, TWO, review=review.where("raw = 'x'"))["r", 0]["match_id"] == "a"
+    by_token = spark.createDataFrame([("r", 2, "كُتِبَ")], "record_id string, i int, form string")
+    by_form = spark.createDataFrame([("كتب", "كُتُب", "قد", 1), ("كتب", "كَتَبَ", None, 2)], "key string, form string, after string, place int")
+    got = ladder(spark, {"r": ["قد", "كتب", "كتب", "كتب"]}, TWO, by_token=by_token, by_form=by_form)
+    assert [(got["r", i]["tier"], got["r", i]["match_id"][:3]) for i in (1, 2, 3)] == [(1, "b"), (1, "كتب"), (1, "a")]
+    assert got["r", 2]["surface"] == "كُتِبَ" and got["r", 1]["confidence"] == "high"
+
+
+def test_ladder_late_mint_and_rescue(spark):
+    got = ladder(spark, {"r": ["دار", "نهر"]}, TWO, analysed=spark.createDataFrame([("دار",), (None,)], "form string"))
+    assert (got["r", 0]["tier"], got["r", 0]["clickable"], got["r", 1]["clickable"]) == (5, True, False) and got["r", 0]["match_id"].startswith("دار#")
+    toks = spark.createDataFrame([(4, "partial"), (5, "partial"), (5, "none"), (3, "partial")], "tier int, marks string")
+    assert sorted(r["tier"] for r in B.rescued(toks).collect()) == [0, 0, 3, 5]
+    assert ladder(spark, {}, TWO) == {}
+
+
+def test_scored_sample(spark):
     sample = spark.createDataFrame([("s", 1), ("s", 2), ("z", 3)], "stratum string, id int")
     v = spark.createDataFrame([(1, "yes"), (2, "no"), (3, "unsure")], "id int, ok string")
     assert [tuple(r) for r in B.score_sample(sample, v, "id", "stratum", "ok").collect()] == [("s", 2, 1)]
@@ -98,7 +160,7 @@ def test_every_particle_governs_its_case(spark):
     genitive = "من في على عن إلى الى مع عند بين لدى حتى منذ خلال قبل بعد فوق تحت دون سوى نحو".split()
     accusative = "إن أن كأن لكن لعل ليت إنما".split()
     key = {r["w"]: r["k"] for r in spark.createDataFrame([(w,) for w in genitive + accusative], "w string").select("w", X.fold_key("w").alias("k")).collect()}
-    assert {key[w] for w in genitive} == set(B.GENITIVE) and {key[w] for w in accusative} == set(B.ACCUSATIVE)
+    assert {key[w] for w in genitive} == set(ARABIC.genitive) and {key[w] for w in accusative} == set(ARABIC.accusative)
     inv = B.inventory(spark.createDataFrame([("u", "بيت", "بَيْتُ", 9), ("i", "بيت", "بَيْتِ", 1), ("a", "بيت", "بَيْتَ", 1)], "match_id string, search_key string, vocalized string, freq long"))
     toks = spark.createDataFrame([(f"{n}{w}", i, x) for n, ws in (("g", genitive), ("a", accusative)) for w in ws for i, x in enumerate((w, "بيت"))], "record_id string, i int, raw string")
     got = {r["record_id"]: (r["match_id"], r["tier"]) for r in B.bind(toks, inv).where("i = 1").collect()}

@@ -132,11 +132,10 @@ def test_p2_rules_on_a_fixture(spark, tmp_path):
 
 
 def test_bind_gives_every_token_one_tier_and_ignores_partitions(spark, sf):
-    from wordloom.plans.corpus_queries import words
-    from wordloom.session import table
+    from wordloom.plans.corpus_queries import entries, words
 
     toks = words(spark, sf)
-    inv = B.inventory(table(spark, sf, "surface"))
+    inv = B.inventory(entries(spark, sf, "search_key", "vocalized", "freq"))
     a = B.bind(toks, inv)
     assert a.count() == toks.count() == a.select("record_id", "i").distinct().count()
     b = B.bind(toks.repartition(3, "raw"), inv)
@@ -149,8 +148,9 @@ def test_bind_gives_every_token_one_tier_and_ignores_partitions(spark, sf):
 def test_corrections_win(spark):
     toks = spark.createDataFrame([("r", 0, "قال")], "record_id string, i int, raw string")
     inv = B.inventory(spark.createDataFrame([("قال#1", "قال", "قَالَ", 5)], "match_id string, search_key string, vocalized string, freq long"))
-    fix = spark.createDataFrame([("r", 0, "قال#9")], "record_id string, i int, match_id string")
-    assert B.bind(toks, inv, corrections=fix).first()["match_id"] == "قال#9"
+    fix = spark.createDataFrame([("r", 0, "قِيلَ")], "record_id string, i int, form string")
+    got = B.bind(toks, inv, by_token=fix).first()
+    assert got["match_id"].startswith("قال#") and got["match_id"] != "قال#1" and got["tier"] == 1
 
 
 def test_retrieval_ties_and_order(spark):

@@ -151,11 +151,6 @@ def keyword_rank(rows):
 
 
 # Lookups and joins
-add(
-    "candidate_join",
-    lambda s, d: words(s, d).select("record_id", "i", "key").join(B.inventory(table(s, d, "surface")).where("ord = 1").select("key", "n"), "key", "left").select("record_id", "i", "key", F.coalesce("n", F.lit(0)).alias("candidates")),
-    f"WITH {WRD}, c AS (SELECT search_key, count(DISTINCT match_id) n FROM surface WHERE search_key IS NOT NULL AND match_id IS NOT NULL AND vocalized IS NOT NULL GROUP BY 1) SELECT record_id, i, key, coalesce(n, 0) AS candidates FROM wrd LEFT JOIN c ON key = search_key",
-)
 add(
     "word_panel",
     lambda s, d: word_panel(s, d),
@@ -299,18 +294,6 @@ m AS (SELECT witness_id, unnest(regexp_extract_all(text, '[«({»)}]')) mark, ge
 s AS (SELECT *, sum(CASE WHEN mark IN ('«', '(', '{') THEN 1 ELSE -1 END) OVER (PARTITION BY witness_id ORDER BY n) s FROM m)
 SELECT witness_id, CAST(n AS INTEGER) AS n, mark, CAST(s - least(0, min(s) OVER (PARTITION BY witness_id ORDER BY n)) AS BIGINT) AS depth FROM s""",
 )
-add(
-    "lag2_override",
-    lambda s, d: lag2(s, d),
-    f"""WITH {WRD}, l AS (SELECT record_id, i, key, lag(key, 2) OVER (PARTITION BY record_id ORDER BY i) g FROM wrd) SELECT record_id, i FROM l WHERE g IN ({', '.join(map(repr, B.GENITIVE))}) AND key = 'قال'""",
-)
-
-
-def lag2(spark, d):
-    """Tokens two places after a governing particle; inside the record's own array, without a window."""
-    rows = _records(spark, d).select(F.col("id").alias("record_id"), F.transform(X.tokens_of("textraw"), lambda t: X.fold_key(t["raw"])).alias("keys"))
-    at = F.filter(F.sequence(F.lit(3), F.size("keys")), lambda p: (F.element_at("keys", p) == "قال") & F.element_at("keys", p - 2).isin(*B.GENITIVE))
-    return rows.where(F.size("keys") >= 3).select("record_id", F.explode(at).alias("p")).select("record_id", (F.col("p") - 1).alias("i"))
 
 
 # Retrieval and alignment
@@ -395,18 +378,6 @@ add(
     lambda s, d: bound(s, d).groupBy("key", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "low").alias("low")).groupBy("key").agg(F.min_by("tier", F.struct(-F.col("n"), F.col("tier"))).alias("modal_tier"), F.sum("n").alias("tokens"), F.sum("low").alias("low")),
     f"WITH {BND}, k AS (SELECT key, tier, count(*) n, count(*) FILTER (WHERE confidence = 'low') low FROM bnd GROUP BY ALL) SELECT key, min_by(tier, (-n, tier)) AS modal_tier, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(low) AS BIGINT) AS low FROM k GROUP BY key",
 )
-add("bind_tokens", lambda s, d: B.bind(words(s, d), B.inventory(table(s, d, "surface")), witnessed=witnessed(s, d)))
-
-
-def witnessed(spark, d):
-    """record_id, i, form: the words of the retrieved witness row that aligned blocks of three words or more cover."""
-    pairs = materialise(_pairs(spark, d), "witness-pairs")
-    blocks = R.align(pairs).select("query_id", "row_id", F.explode("blocks").alias("m")).where("m.size >= 3")
-    at = blocks.select("query_id", "row_id", "m.a", "m.b", F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("k"))
-    got = at.join(pairs.select("query_id", "row_id", "forms"), ["query_id", "row_id"])
-    return got.select(F.col("query_id").alias("record_id"), (F.col("a") + F.col("k")).alias("i"), F.element_at("forms", F.col("b") + F.col("k") + 1).alias("form"))
-
-
 add(
     "wilson_interval",
     lambda s, d: bound(s, d).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "high").alias("k")).select("tier", "n", "k", *[F.floor(x * 10_000).cast("bigint").alias(nm) for x, nm in zip(M.wilson(F.col("k"), F.col("n")), ("low", "high"))]),

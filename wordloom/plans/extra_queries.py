@@ -8,7 +8,7 @@ from wordloom.functions import text as X
 from wordloom.operators import analyse as N
 from wordloom.operators import binder as B
 from wordloom.operators import segment as S
-from wordloom.plans.corpus_queries import BIG, BND, NBR, SUR, WRD, _nb, bound, entries, witnessed, words
+from wordloom.plans.corpus_queries import BND, SUR, WRD, bound, entries, words
 from wordloom.plans.record_queries import HEAD, OPEN
 from wordloom.plans.text_queries import DEDIAC, FOLD, LET, MRK, REC, _records
 from wordloom.profiles import ARABIC as A
@@ -96,16 +96,10 @@ SELECT key, form, key || '#' || left(sha1(form), 6) AS match_id, at[1] AS row_id
 )
 add(
     "minted_forms",
-    lambda s, d: B.mint(words(s, d), B.inventory(table(s, d, "surface"))),
-    f"""WITH {WRD}, m AS (SELECT DISTINCT key, raw AS form FROM wrd WHERE regexp_matches(translate(raw, '{A.stretch}', ''), '[^{A.marks}][{A.marks}]')), v AS (SELECT search_key, match_id, min(vocalized) f FROM surface WHERE search_key IS NOT NULL AND match_id IS NOT NULL AND vocalized IS NOT NULL GROUP BY ALL)
+    lambda s, d: B.extended(B.inventory(entries(s, d, "search_key", "vocalized", "freq")), words(s, d).where(X.mark_class("raw") != "none").select("key", F.col("raw").alias("form"))).where("minted").select("key", "form", "match_id"),
+    f"""WITH {WRD}, {SUR}, m AS (SELECT DISTINCT key, raw AS form FROM wrd WHERE regexp_matches(translate(raw, '{A.stretch}', ''), '[^{A.marks}][{A.marks}]')), v AS (SELECT search_key, match_id, min(vocalized) f FROM sur WHERE search_key IS NOT NULL AND match_id IS NOT NULL AND vocalized IS NOT NULL GROUP BY ALL)
 SELECT key, form, key || '#' || left(sha1(form), 6) AS match_id FROM m WHERE NOT EXISTS (SELECT 1 FROM v WHERE search_key = key AND f = form)""",
 )
-add(
-    "consistency_repair",
-    lambda s, d: B.repair(_nb(s, d), support=5),
-    f"""WITH {NBR}, {BIG}, ver AS (SELECT side, a, b, min_by(match_id, (-n, match_id)) winner FROM vt GROUP BY ALL HAVING sum(n) >= 5 AND max(n) * 10 >= sum(n) * 9),
-h AS (SELECT record_id, i, match_id was, min_by(winner, side) now FROM bg JOIN ver USING (side, a, b) WHERE tier = 2 GROUP BY ALL) SELECT * FROM h WHERE was <> now""",
-)
 add(
     "flagged_by_tier",
     lambda s, d: bound(s, d).join(entries(s, d, "morph_confidence"), "match_id", "left").groupBy("tier").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("morph_confidence") == "low").alias("flagged")),
@@ -138,10 +132,6 @@ h AS (SELECT *, list_transform({_HID}, lambda x: translate(x, '{A.hamza_seats[0]
 k AS (SELECT *, list_transform(u, lambda x, i: CASE WHEN NOT contains(x, '#') THEN x WHEN h[i] IN ('ء', 'و', 'ي') AND (i = 1 OR length(x) - length(replace(x, '#', '')) = 1) THEN repeat(h[i], length(x) - length(replace(x, '#', ''))) || replace(x, '#', '') END) AS k FROM h)
 SELECT match_id, CASE WHEN NOT contains(r, '#') THEN r WHEN regexp_matches(b, p) AND len(list_filter(k, lambda x: x IS NULL)) = 0 THEN array_to_string(k, '') END AS root FROM k""",
 )
-add(
-    "witness_disagreement",
-    lambda s, d: bound(s, d).join(witnessed(s, d), ["record_id", "i"]).where("tier = 1 and raw <> form").groupBy("raw", "form").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "raw", "form").limit(5),
-)
 add("sticky_front", lambda s, d: S.sticky_front(_records(s, d).where(F.col("layer").startswith("heading") | (F.col("layer") == "frontmatter")).select("corpus", F.col("kitab.idx").alias("part"), "seq", F.when(F.col("layer") == "heading_kitab", 1).otherwise(2).alias("depth"), (F.col("layer") == "frontmatter").alias("starts")).withColumn("text_key", F.concat_ws("|", "corpus", F.col("part").cast("string"))), "text_key", "seq", "depth", "starts").select("seq", "front"))
 add("close_paragraphs", lambda s, d: S.close_paragraphs(table(s, d, "documents"), "doc_id", "text", {"top": "^كتاب ", "sub": HEAD, "opener": OPEN, "note": r"^\[\d+\]"}).select("doc_id", "rec", "layer", "first_line", F.length("text").alias("chars"), F.length("note").alias("note")))
 add("parse_markup", lambda s, d: parsed(s, d))
