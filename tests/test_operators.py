@@ -269,7 +269,7 @@ def test_stream_loses_no_late_record(spark, tmp_path):
     assert got == [("قلم", 2, 2), ("كتب", 4, 3)]
 
 
-def test_retrieval_postings_keep_keys_of_21_to_400_records(spark, tmp_path, sf):
+def test_postings_keep_keys_of_21_to_400_records(spark, tmp_path, sf):
     import __spark_entry__ as entry
 
     rows = [(f"r{i:03}", "c", "matn", i, "كتب" if i < 400 else "قلم", 1) for i in range(430)] + [(f"q{i:03}", "c", "matn", 500 + i, "بحر", 1) for i in range(401)]
@@ -277,5 +277,5 @@ def test_retrieval_postings_keep_keys_of_21_to_400_records(spark, tmp_path, sf):
     have = spark.read.parquet(f"{sf}/records.parquet")
     more = [F.lit(None).cast(f.dataType).alias(f.name) for f in have.schema.fields if f.name not in df.columns]
     df.select("*", *more).write.parquet(f"{tmp_path}/records.parquet")
-    got = {r["key"]: (r["df"], len(r["records"].split())) for r in entry.queries()["retrieval_postings"](spark, str(tmp_path)).collect()}
+    got = {r["key"]: (r["df"], len(r["records"].split())) for r in entry.queries()["postings"](spark, str(tmp_path)).collect()}
     assert got == {"كتب": (400, 400), "قلم": (30, 30)}

@@ -77,10 +77,27 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
     return cum.agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 95 / 100)).alias("p95"), F.max("v").alias("largest"))
 
 
-def majority_vote(df: DataFrame, key: str, vote: str) -> DataFrame:
-    """key, the vote given most often (ties to the lower), its count and all counts."""
+def majority_vote(df: DataFrame, key: str, vote: str, known: DataFrame | None = None) -> DataFrame:
+    """key, winner, votes (its count), cast (all counts), basis: the vote given most often. Of several the one that the
+    one-column table `known` holds, if it holds just one of them ("known"), else the lowest ("unresolved")."""
     n = df.where(F.col(vote).isNotNull() & F.col(key).isNotNull()).groupBy(key, vote).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy(key).agg(F.min_by(vote, F.struct(-F.col("n"), F.col(vote))).alias("winner"), F.max("n").alias("votes"), F.sum("n").alias("cast"))
+    flag = F.lit(False)
+    if known is not None:
+        n = n.join(known.select(F.col(known.columns[0]).alias(vote)).distinct().withColumn("__known", F.lit(True)), vote, "left")
+        flag = F.coalesce("__known", F.lit(False))
+    n = n.withColumn("k", flag)
+    best = n.groupBy(key).agg(F.max("n").alias("votes"), F.sum("n").alias("cast"))
+    top = n.join(best, key).where(F.col("n") == F.col("votes")).groupBy(key, "votes", "cast").agg(F.count(F.lit(1)).alias("tied"), F.count_if("k").alias("tied_known"), F.min(F.when(F.col("k"), F.col(vote))).alias("of_known"), F.min(vote).alias("lowest"))
+    one = F.col("tied") == 1
+    basis = F.when(one & (F.col("cast") == F.col("votes")), "unanimous").when(one, "majority").when(F.col("tied_known") == 1, "known").otherwise("unresolved")
+    return top.select(key, F.when(basis == "known", F.col("of_known")).otherwise(F.col("lowest")).alias("winner"), "votes", "cast", basis.alias("basis"))
+
+
+def support(df: DataFrame, key: str, vote: str) -> DataFrame:
+    """key, vote, support, place: how many rows stand behind each vote, the best supported first, then the lower. A
+    window keeps a key's distinct votes, which fall together before it."""
+    n = df.where(F.col(vote).isNotNull() & F.col(key).isNotNull()).groupBy(key, vote).agg(F.count(F.lit(1)).alias("support"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("support").desc(), vote)))
 
 
 def first_wins(entries: DataFrame, passes: list[DataFrame]) -> DataFrame:
@@ -103,12 +120,27 @@ def tiered_lookup(rows: DataFrame, item: str, tries: list[Column], index: list[D
     return hits.groupBy(item).agg(F.min("tier").alias("tier"), F.min_by("node", F.struct("tier", "node")).alias("node"))
 
 
-def stem_recover(words: DataFrame, key: str, lexicon: DataFrame, proclitics: list[str], enclitics: list[str]) -> DataFrame:
+def stem_recover(words: DataFrame, key: str, lexicon: DataFrame, proclitics: list[str], enclitics: list[str], least: int = 2) -> DataFrame:
     """key, stem, root: the key with one of the affix pairs taken off, where the lexicon (stem, root, freq) knows what
-    is left; the longest stem, then the more frequent, then the lower. A null root is no evidence."""
+    is left; the longest stem, then the more frequent, then the lower. A null root is no evidence, and a word never
+    stands for itself.
+
+    Columns of words that guide it, each where there is one: `before` and `after`, whether a gloss says that something
+    stands before or after the stem (null: it does not say); `final`, the word's last letter as written, for a teh
+    marbuta is no pronoun; `senses`, the gloss's words, of which the lexicon's `senses` must share one.
+    """
+    guided = [c for c in ("before", "after", "final", "senses") if c in words.columns]
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(e).alias("e")) for p in proclitics for e in enclitics if p or e]))
-    cut = words.select(key, pairs.alias("a")).where(F.col(key).startswith(F.col("a.p")) & F.col(key).endswith(F.col("a.e")))
-    cut = cut.select(key, F.substring(F.col(key), F.length("a.p") + 1, F.length(key) - F.length("a.p") - F.length("a.e")).alias("stem")).where(F.length("stem") >= 2).distinct()
-    hit = cut.join(lexicon.where("root is not null"), "stem")
+    cut = words.select(key, *guided, pairs.alias("a")).where(F.col(key).startswith(F.col("a.p")) & F.col(key).endswith(F.col("a.e")))
+    for column, affix in (("before", "a.p"), ("after", "a.e")):
+        if column in guided:
+            cut = cut.where(F.col(column).isNull() | (F.col(column) == (F.col(affix) != "")))
+    if "final" in guided:
+        cut = cut.where(~((F.col("a.e") == "ه") & F.coalesce(F.col("final") == "ة", F.lit(False))))
+    mine = ["senses"] if "senses" in guided else []
+    cut = cut.select(key, *[F.col(c).alias("__mine") for c in mine], F.substring(F.col(key), F.length("a.p") + 1, F.length(key) - F.length("a.p") - F.length("a.e")).alias("stem"))
+    hit = cut.where((F.length("stem") >= least) & (F.col("stem") != F.col(key))).join(lexicon.where("root is not null"), "stem")
+    if mine:
+        hit = hit.where(F.arrays_overlap("__mine", "senses"))
     best = F.struct(-F.length("stem"), -F.coalesce("freq", F.lit(0)), F.col("stem"), F.col("root"))
     return hit.groupBy(key).agg(F.min_by("stem", best).alias("stem"), F.min_by("root", best).alias("root"))

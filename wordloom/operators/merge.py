@@ -86,3 +86,51 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     den = 1 + z * z / n
     return F.when(n > 0, (mid - half) / den), F.when(n > 0, (mid + half) / den)
+
+
+def weighted_estimate(strata: DataFrame, right: str, judged: str, population: str) -> DataFrame:
+    """One row: estimate_ppm, the share right in the whole, each stratum's share weighted by its population; null where a
+    stratum has no verdict, for it is then unknown."""
+    part = F.col(right) * F.col(population) / F.nullif(F.col(judged), F.lit(0))
+    known = F.count_if(F.col(judged) == 0) == 0
+    return strata.agg(F.when(known, F.floor(F.sum(part) * 1_000_000 / F.sum(population)).cast("bigint")).alias("estimate_ppm"))
+
+
+def trim_payload(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of a whitelist, in its order; one that rows lack is an error, not a gap."""
+    if lost := [c for c in keep if c not in rows.columns]:
+        raise ValueError(f"the payload lacks {lost}")
+    return rows.select(*keep)
+
+
+def carry(rows: DataFrame, carried: list[str], refused: list[str]) -> DataFrame:
+    """rows with the carried columns; each column must be on one list. A column on both or on none is an error, so that
+    a delivery's new column is decided on before it travels."""
+    if both := set(carried) & set(refused):
+        raise ValueError(f"carried and refused: {sorted(both)}")
+    if stray := [c for c in rows.columns if c not in {*carried, *refused}]:
+        raise ValueError(f"neither carried nor refused: {stray}")
+    return trim_payload(rows, carried)
+
+
+def rebuild(previous: DataFrame, built: DataFrame, collection: str, key: str) -> DataFrame:
+    """What was built before, with the collections that were built anew in place of their old rows: rows of other
+    collections are carried forward, unless a new row has their key. The same build again changes nothing."""
+    gone = previous.join(built.select(collection).distinct(), collection, "left_anti").join(built.select(key).distinct(), key, "left_anti")
+    return gone.unionByName(built, allowMissingColumns=True)
+
+
+def override_by_context(tokens: DataFrame, context: DataFrame, shape: Column) -> DataFrame:
+    """tokens (record_id, i, root) with what an analysis in context (record_id, i, context_root) says of the root,
+    where the two roots' shapes allow it; basis tells which it is."""
+    got = tokens.join(context, ["record_id", "i"], "left")
+    take = F.col("context_root").isNotNull() & F.coalesce(shape, F.lit(False))
+    return got.withColumns({"basis": F.when(take, "context").when(F.col("root").isNotNull(), "entry"), "root": F.when(take, F.col("context_root")).otherwise(F.col("root"))}).drop("context_root")
+
+
+def drift(measured: DataFrame, expected: DataFrame, key: str, value: str, tolerance: Column | int = 0) -> DataFrame:
+    """key, measured, expected, state (ok, drift, unexpected, missing) of measures against a table of expectations."""
+    a, b = measured.select(key, F.col(value).alias("measured")), expected.where(F.col(value).isNotNull()).select(key, F.col(value).alias("expected"))
+    tol = tolerance if isinstance(tolerance, Column) else F.lit(tolerance)
+    state = F.when(F.col("expected").isNull(), "unexpected").when(F.col("measured").isNull(), "missing").when(F.abs(F.col("measured") - F.col("expected")) <= tol, "ok").otherwise("drift")
+    return a.join(b, key, "full_outer").withColumn("state", state)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.profiles import ARABIC, Profile
+
 
 def search_form(tokens: DataFrame, terms: list[str], limit: int = 40) -> DataFrame:
     """The records that hold the most of the distinct terms, in reading order, the first `limit`, with the total: a
@@ -53,10 +55,22 @@ def quote_depth(df: DataFrame, key: str, text: str, opens: str = "«({", closes:
     The floored sum is the plain one less its least prefix, so it needs no step-by-step state; it runs inside one
     text.
     """
-    from pyspark.sql import Window
-
     marks = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"([{opens}{closes}])"), 1)).alias("n", "mark"))
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.lit(opens).contains(F.col("mark")), 1).otherwise(-1)
     s = marks.withColumn("s", F.sum(step).over(w))
     return s.withColumn("depth", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).cast("bigint")).drop("s")
+
+
+def quoted_words(df: DataFrame, key: str, text: str, opens: str = "«({", closes: str = "»)}", p: Profile = ARABIC) -> DataFrame:
+    """key, i, word, inside: whether a word begins inside quotation. The depth is that of quote_depth(), which a word
+    takes over as it stands before it."""
+    item = f"([{opens}{closes}]|[{p.letters}{p.strip}]+)"
+    items = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(item), 1)).alias("n", "item"))
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.lit(opens).contains(F.col("item")), 1).when(F.lit(closes).contains(F.col("item")), -1)
+    s = items.withColumns({"s": F.coalesce(F.sum(step).over(w), F.lit(0)), "step": step})
+    depth = F.col("s") - F.least(F.lit(0), F.min("s").over(w))
+    i = F.count_if(F.col("step").isNull()).over(w) - 1
+    got = s.withColumns({"inside": depth > 0, "i": i.cast("int")})
+    return got.where("step is null").select(key, "i", F.col("item").alias("word"), "inside")

@@ -112,28 +112,24 @@ def missing_numbers(records: DataFrame, collection: str, number: str, span: int
     return every.join(have, [collection, "n"], "left_anti").select(collection, F.col("n").alias("number"))
 
 
-def sticky_front(headings: DataFrame, key: str, order: str, depth: str, starts: str) -> DataFrame:
+def sticky_front(headings: DataFrame, key: str, order: str, depth: str, starts: str, depths: int = 6) -> DataFrame:
     """headings with front: whether a heading lies in front matter. A heading marked by the boolean column `starts`
-    opens it at its depth; deeper ones after it stay in it, until one of that depth or less closes it.
+    opens it at its depth; deeper ones after it stay in it, until one of that depth or less closes it. Depths run from
+    1 to `depths`.
 
-    The depth remembered makes this a state machine; it runs over one text's headings, never over a collection.
+    A heading lies in it when for some smaller depth k the last heading of depth k or less before it is a start of
+    depth k: what a start inside front matter would hold, the outer one holds too. So a running value a depth is
+    enough, and a text of any length is spread over chunks.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*headings.schema.fields, T.StructField("front", T.BooleanType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        since, out = None, []
-        for d, s in zip(part[depth], part[starts]):
-            inside = since is not None and d > since
-            if not inside:
-                since = d if s else None
-            out.append(bool(inside or s))
-        return part.assign(front=out)
-
-    return headings.groupBy(key).applyInPandas(run, schema)
+    marked, scans = headings, []
+    for k in range(1, depths):
+        marked = marked.withColumn(f"__at{k}", F.when(F.col(depth) <= k, F.when(F.col(starts) & (F.col(depth) == k), 1).otherwise(0)))
+        scans.append(Scan(f"__open{k}", "last", f"__at{k}"))
+    got = scan(marked, [key], order, scans)
+    inside = F.coalesce(starts, F.lit(False))
+    for k in range(1, depths):
+        inside = inside | ((F.col(depth) > k) & (F.coalesce(f"__open{k}", F.lit(0)) == 1))
+    return got.withColumn("front", inside).drop(*[c for c in got.columns if c.startswith(("__at", "__open"))])
 
 
 def close_paragraphs(df: DataFrame, key: str, text: str, kinds: dict[str, str]) -> DataFrame:

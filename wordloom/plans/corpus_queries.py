@@ -82,11 +82,6 @@ add(
 )
 add(
     "postings",
-    lambda s, d: L.postings(words(s, d), 20).select("key", "df", F.array_join("records", " ").alias("records")),
-    f"WITH {WRD} SELECT key, count(DISTINCT record_id) AS df, string_agg(DISTINCT record_id, ' ' ORDER BY record_id) AS records FROM wrd GROUP BY key HAVING count(DISTINCT record_id) <= 20",
-)
-add(
-    "retrieval_postings",
     lambda s, d: L.postings(words(s, d), 400).select("key", "df", F.array_join("records", " ").alias("records")),
     f"WITH {WRD} SELECT key, count(DISTINCT record_id) AS df, string_agg(DISTINCT record_id, ' ' ORDER BY record_id) AS records FROM wrd GROUP BY key HAVING count(DISTINCT record_id) <= 400",
 )
@@ -112,15 +107,6 @@ add(
     lambda s, d: entries(s, d, "divergence", "freq").groupBy("divergence").agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("freq"), F.lit(0)).alias("weight")),
     f"WITH {SUR} SELECT divergence, count(*) AS types, CAST(coalesce(sum(freq), 0) AS BIGINT) AS weight FROM sur GROUP BY divergence",
 )
-EXPECTED = [("records", 485), ("matn", 365), ("corpora", 6)]
-add(
-    "drift_check",
-    lambda s, d: _records(s, d)
-    .agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("layer") == "matn").alias("matn"), F.count_distinct("corpus").alias("corpora"))
-    .select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).cast("bigint").alias("expected"), F.col(n).alias("measured")) for n, v in EXPECTED])).alias("x"))
-    .select("x.*", (F.abs(F.col("x.measured") - F.col("x.expected")) <= 5).alias("ok")),
-    f"WITH {REC}, m AS (SELECT count(*) r, count(*) FILTER (WHERE layer = 'matn') m, count(DISTINCT corpus) c FROM rec), x(name, expected, measured) AS (SELECT 'records', 485::BIGINT, r FROM m UNION ALL SELECT 'matn', 365::BIGINT, m FROM m UNION ALL SELECT 'corpora', 6::BIGINT, c FROM m) SELECT *, abs(measured - expected) <= 5 AS ok FROM x",
-)
 add(
     "upper_median",
     lambda s, d: L.upper_median(_records(s, d), "tokens"),
@@ -151,20 +137,6 @@ def keyword_rank(rows):
 
 
 # Lookups and joins
-add(
-    "word_panel",
-    lambda s, d: word_panel(s, d),
-    f"""WITH {BND}, {SUR}, u AS (SELECT match_id, count(*) uses FROM bnd WHERE match_id IS NOT NULL GROUP BY 1), e AS (SELECT root, count(DISTINCT nodeid) articles FROM entries WHERE root IS NOT NULL GROUP BY 1)
-SELECT sur.match_id, search_key, vocalized, coalesce(uses, 0) AS uses, coalesce(articles, 0) AS articles FROM sur LEFT JOIN u USING (match_id) LEFT JOIN e ON e.root = sur.lane_root""",
-)
-
-
-def word_panel(spark, d):
-    """A word's entry with its uses in the texts and the articles of its root: word facts and text facts meet here only."""
-    uses = bound(spark, d).where("match_id is not null").groupBy("match_id").agg(F.count(F.lit(1)).alias("uses"))
-    arts = table(spark, d, "entries").where("root is not null").select("root", "nodeid").distinct().groupBy(F.col("root").alias("lane_root")).agg(F.count(F.lit(1)).alias("articles"))
-    rows = entries(spark, d, "search_key", "vocalized", "lane_root").join(uses, "match_id", "left").join(arts, "lane_root", "left")
-    return rows.select("match_id", "search_key", "vocalized", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("articles", F.lit(0)).alias("articles"))
 
 
 add(
@@ -179,37 +151,9 @@ add(
     f"""WITH {SUR}, t AS (SELECT match_id, freq FROM sur WHERE freq >= 10), b AS (SELECT match_id, min(freq) freq, min(lemma) lemma FROM surface WHERE corpus IS NOT NULL GROUP BY 1)
 SELECT * FROM b WHERE match_id NOT IN (SELECT match_id FROM t) UNION ALL SELECT match_id, freq, NULL FROM t""",
 )
-add(
-    "context_override",
-    lambda s, d: bound(s, d).where("match_id is not null").join(entries(s, d, "root", "lane_root"), "match_id", "left").select("record_id", "i", F.when(F.col("root").isNull() & F.col("lane_root").isNotNull() & ~X.is_hollow("lane_root"), F.col("lane_root")).otherwise(X.root_key("root")).alias("root")),
-    f"""WITH {BND}, {SUR} SELECT record_id, i, CASE WHEN root IS NULL AND lane_root IS NOT NULL AND NOT (length(lane_root) = 3 AND regexp_matches(substr(lane_root, 2, 1), '[وي]')) THEN lane_root
-ELSE regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g') END AS root FROM bnd LEFT JOIN sur USING (match_id) WHERE match_id IS NOT NULL""",
-)
 HEADS = "hd AS (SELECT DISTINCT nodeid AS node, headword, nodenum FROM entries WHERE headword IS NOT NULL)"
 _heads = lambda s, d: table(s, d, "entries").where("headword is not null").select(F.col("nodeid").alias("node"), "headword", "nodenum").distinct()
 _DED, _FLD = (lambda c: f"translate({c}, '{A.strip}', '')"), (lambda c: FOLD.format(c))
-add(
-    "tiered_lookup",
-    lambda s, d: L.tiered_lookup(
-        entries(s, d, "vocalized"), "match_id", [F.col("vocalized"), X.dediac("vocalized"), X.fold_key("vocalized")],
-        [_heads(s, d).groupBy(k.alias("key")).agg(F.min("node").alias("node")) for k in (F.col("headword"), X.dediac("headword"), X.fold_key("headword"))],
-    ),
-    f"""WITH {SUR}, {HEADS}, h AS (SELECT 0 t, headword k, min(node) n FROM hd GROUP BY ALL UNION ALL SELECT 1, {_DED('headword')}, min(node) FROM hd GROUP BY ALL UNION ALL SELECT 2, {_FLD('headword')}, min(node) FROM hd GROUP BY ALL),
-q AS (SELECT match_id, 0 t, vocalized k FROM sur UNION ALL SELECT match_id, 1, {_DED('vocalized')} FROM sur UNION ALL SELECT match_id, 2, {_FLD('vocalized')} FROM sur)
-SELECT match_id, CAST(min(t) AS INTEGER) AS tier, min_by(n, (t, n)) AS node FROM q JOIN h USING (t, k) WHERE k <> '' GROUP BY match_id""",
-)
-add(
-    "variant_lookup",
-    lambda s, d: variant_lookup(s, d),
-)
-
-
-def variant_lookup(spark, d):
-    """The first spelling of each root that the dictionary holds."""
-    roots = table(spark, d, "surface").select("root").where("root is not null").distinct()
-    tries = roots.select("root", F.posexplode(X.root_variants(X.root_key("root"))).alias("place", "spelling"))
-    known = table(spark, d, "entries").select(F.col("root").alias("spelling")).where("spelling is not null").distinct()
-    return tries.join(known, "spelling").groupBy("root").agg(F.min_by("spelling", "place").alias("found"), F.min("place").alias("place"))
 
 
 add(
@@ -233,25 +177,7 @@ add(
     f"WITH {SUR}, k AS (SELECT search_key FROM sur WHERE search_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT match_id, coalesce(search_key IN (SELECT search_key FROM k), false) AS review, coalesce(pos = 'name', false) AS is_name FROM sur",
 )
 PRO, ENC = ["", "و", "ف", "ب", "ال", "وال", "بال", "فال"], ["", "ه", "ها", "هم"]
-add(
-    "stem_recover",
-    lambda s, d: L.stem_recover(entries(s, d, "search_key").select("search_key").where("search_key is not null").distinct(), "search_key", entries(s, d, "search_key", "root", "freq").where("search_key is not null").groupBy(F.col("search_key").alias("stem"), "root").agg(F.max("freq").alias("freq")), PRO, ENC),
-    f"""WITH {SUR}, w AS (SELECT DISTINCT search_key k FROM sur WHERE search_key IS NOT NULL), a AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{e}')" for p in PRO for e in ENC if p or e)}) v(p, e)),
-c AS (SELECT DISTINCT k, substr(k, length(p) + 1, length(k) - length(p) - length(e)) st FROM w JOIN a ON starts_with(k, p) AND ends_with(k, e)), l AS (SELECT search_key st, root, max(freq) f FROM sur WHERE search_key IS NOT NULL AND root IS NOT NULL GROUP BY ALL)
-SELECT k AS search_key, min_by(st, (-length(st), -coalesce(f, 0), st, root)) AS stem, min_by(root, (-length(st), -coalesce(f, 0), st, root)) AS root FROM c JOIN l USING (st) WHERE length(st) >= 2 GROUP BY k""",
-)
-add(
-    "majority_vote",
-    lambda s, d: L.majority_vote(entries(s, d, "search_key", "root"), "search_key", "root"),
-    f"""WITH {SUR}, n AS (SELECT search_key, root, count(*) n FROM sur WHERE root IS NOT NULL AND search_key IS NOT NULL GROUP BY ALL)
-SELECT search_key, min_by(root, (-n, root)) AS winner, max(n) AS votes, CAST(sum(n) AS BIGINT) AS cast FROM n GROUP BY search_key""",
-)
 _RK = lambda c: f"regexp_replace(translate({FOLD.format(c)}, 'ء', 'ا'), '[^ء-ي]', '', 'g')"
-add(
-    "source_bakeoff",
-    lambda s, d: entries(s, d, "root", "lane_root").select(F.when(F.col("root").isNull() & F.col("lane_root").isNull(), "neither").when(F.col("root").isNull(), "second only").when(F.col("lane_root").isNull(), "first only").when(X.root_key("root") == X.root_key("lane_root"), "agree").otherwise("disagree").alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
-    f"WITH {SUR} SELECT CASE WHEN root IS NULL AND lane_root IS NULL THEN 'neither' WHEN root IS NULL THEN 'second only' WHEN lane_root IS NULL THEN 'first only' WHEN {_RK('root')} = {_RK('lane_root')} THEN 'agree' ELSE 'disagree' END AS outcome, count(*) AS n FROM sur GROUP BY 1",
-)
 
 # Search and context
 TERMS = ["والمتقدمون", "ذلك", "قال"]
@@ -335,21 +261,6 @@ SELECT query_id, row_id, min(pa) AS a, min(pb) AS b, count(*) AS size FROM g GRO
 )
 
 # Binding
-add(
-    "tier_tally",
-    lambda s, d: bound(s, d).groupBy("corpus", "tier").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("clickable").alias("clickable")),
-    f"WITH {BND} SELECT corpus, tier, count(*) AS tokens, count(*) FILTER (WHERE clickable) AS clickable FROM bnd GROUP BY ALL",
-)
-add(
-    "coverage_gate",
-    lambda s, d: bound(s, d).groupBy("corpus").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("tier") <= 2).alias("witnessed")).withColumn("gate", F.when(F.col("corpus") == "qindil", "NOT_GATED").when(F.col("witnessed") * 100 >= F.col("tokens") * 94, "PASS").otherwise("FAIL")),
-    f"WITH {BND}, g AS (SELECT corpus, count(*) tokens, count(*) FILTER (WHERE tier <= 2) witnessed FROM bnd GROUP BY 1) SELECT *, CASE WHEN corpus = 'qindil' THEN 'NOT_GATED' WHEN witnessed * 100 >= tokens * 94 THEN 'PASS' ELSE 'FAIL' END AS gate FROM g",
-)
-add(
-    "binding_shares",
-    lambda s, d: bound(s, d).groupBy("corpus").agg(*[F.nullif(F.count_if(F.col("binding") == b), F.lit(0)).alias(b) for b in ("source", "unique", "aligned", "heuristic", "unbound")]),
-    f"WITH {BND} SELECT corpus, " + ", ".join(f"nullif(count(*) FILTER (WHERE binding = '{b}'), 0) AS {b.replace('unique', chr(34) + 'unique' + chr(34))}" for b in ("source", "unique", "aligned", "heuristic", "unbound")) + " FROM bnd GROUP BY corpus",
-)
 add(
     "morph_coverage",
     lambda s, d: bound(s, d).where("match_id is not null").join(entries(s, d, "root", "lemma"), "match_id", "left").groupBy("corpus").agg(F.count(F.lit(1)).alias("bound"), F.count("root").alias("with_root"), F.count("lemma").alias("with_lemma")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as X
 from wordloom.operators import analyse as N
 from wordloom.operators import binder as B
+from wordloom.operators import search as Q
 from wordloom.operators import segment as S
 from wordloom.plans.corpus_queries import BND, SUR, WRD, bound, entries, words
 from wordloom.plans.record_queries import HEAD, OPEN
@@ -24,11 +25,6 @@ def add(name, fn, sql=None):
         ORACLE[name] = sql
 
 
-add(
-    "public_columns",
-    lambda s, d: _records(s, d).select("id", "corpus", "layer", "number", F.col("kitab.titlear").alias("kitab"), F.col("bab.titlear").alias("bab"), F.size("pages").alias("pages"), X.known("zawaidnote").alias("note")),
-    f"WITH {REC} SELECT id, corpus, layer, number, kitab.titlear AS kitab, bab.titlear AS bab, CAST(len(pages) AS INTEGER) AS pages, CASE WHEN lower(trim(zawaidnote)) NOT IN ('', 'nan', 'none', 'null') THEN zawaidnote END AS note FROM rec",
-)
 add(
     "carry_columns",
     lambda s, d: entries(s, d, "gloss_msa", "lemma", "overlap_score").select("match_id", X.known("gloss_msa").alias("gloss_msa"), X.known("lemma").alias("lemma"), F.floor(X.known_number("overlap_score") * 1000).cast("bigint").alias("overlap")),
@@ -41,12 +37,6 @@ add(
     lambda s, d: _latest_entries(s, d).select("nodeid", F.size("senses").alias("senses"), F.size(F.filter("senses", lambda x: F.exists(x["runs"], lambda r: r["v"].rlike(r"[\p{L}\p{N}]")))).alias("told")),
     rf"WITH {ENT} SELECT nodeid, CAST(len(senses) AS INTEGER) AS senses, CAST(len(list_filter(senses, lambda x: len(list_filter(x.runs, lambda r: regexp_matches(r.v, '[\p{{L}}\p{{N}}]'))) > 0)) AS INTEGER) AS told FROM ent",
 )
-add(
-    "used_roots",
-    lambda s, d: _latest_entries(s, d).select("nodeid", X.root_key("root").alias("root")).join(entries(s, d, "root").select(X.root_key("root").alias("root")).where("root is not null").distinct(), "root", "left_semi"),
-    f"""WITH {ENT}, {SUR}, k AS (SELECT nodeid, regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g') root FROM ent)
-SELECT root, nodeid FROM k WHERE root IN (SELECT regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g') FROM sur WHERE root IS NOT NULL)""",
-)
 add(
     "vowelled_probe",
     lambda s, d: table(s, d, "witness").groupBy("edition").agg(F.bool_or(F.col("text").rlike(f"[{A.vowels}]")).alias("vowelled"), F.count_if(F.col("text").rlike(f"[{A.vowels}]")).alias("rows")),
@@ -105,12 +95,6 @@ add(
     lambda s, d: bound(s, d).join(entries(s, d, "morph_confidence"), "match_id", "left").groupBy("tier").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("morph_confidence") == "low").alias("flagged")),
     f"WITH {BND}, {SUR} SELECT tier, count(*) AS tokens, count(*) FILTER (WHERE morph_confidence = 'low') AS flagged FROM bnd LEFT JOIN sur USING (match_id) GROUP BY tier",
 )
-add(
-    "root_display",
-    lambda s, d: entries(s, d, "root", "lane_root", "lemma").select("match_id", *[c.alias(n) for c, n in zip(N.root_display([("curated", X.root_key("root")), ("dictionary", F.col("lane_root")), ("lemma", X.fold_key("lemma"))]), ("shown", "basis"))]),
-    f"""WITH {SUR}, k AS (SELECT match_id, nullif(regexp_replace(translate({FOLD.format('root')}, 'ء', 'ا'), '[^ء-ي]', '', 'g'), '') a, nullif(lane_root, '') b, nullif({FOLD.format('lemma')}, '') c FROM sur)
-SELECT match_id, coalesce(a, b, c) AS shown, CASE WHEN a IS NOT NULL THEN 'curated' WHEN b IS NOT NULL THEN 'dictionary' WHEN c IS NOT NULL THEN 'lemma' END AS basis FROM k""",
-)
 _VOW = "list_transform({}, lambda m: array_to_string(list_sort(list_distinct(string_split(replace(m, 'ّ', ''), ''))), ''))"
 add(
     "compatible_filter",
@@ -132,16 +116,50 @@ h AS (SELECT *, list_transform({_HID}, lambda x: translate(x, '{A.hamza_seats[0]
 k AS (SELECT *, list_transform(u, lambda x, i: CASE WHEN NOT contains(x, '#') THEN x WHEN h[i] IN ('ء', 'و', 'ي') AND (i = 1 OR length(x) - length(replace(x, '#', '')) = 1) THEN repeat(h[i], length(x) - length(replace(x, '#', ''))) || replace(x, '#', '') END) AS k FROM h)
 SELECT match_id, CASE WHEN NOT contains(r, '#') THEN r WHEN regexp_matches(b, p) AND len(list_filter(k, lambda x: x IS NULL)) = 0 THEN array_to_string(k, '') END AS root FROM k""",
 )
-add("sticky_front", lambda s, d: S.sticky_front(_records(s, d).where(F.col("layer").startswith("heading") | (F.col("layer") == "frontmatter")).select("corpus", F.col("kitab.idx").alias("part"), "seq", F.when(F.col("layer") == "heading_kitab", 1).otherwise(2).alias("depth"), (F.col("layer") == "frontmatter").alias("starts")).withColumn("text_key", F.concat_ws("|", "corpus", F.col("part").cast("string"))), "text_key", "seq", "depth", "starts").select("seq", "front"))
 add("close_paragraphs", lambda s, d: S.close_paragraphs(table(s, d, "documents"), "doc_id", "text", {"top": "^كتاب ", "sub": HEAD, "opener": OPEN, "note": r"^\[\d+\]"}).select("doc_id", "rec", "layer", "first_line", F.length("text").alias("chars"), F.length("note").alias("note")))
-add("parse_markup", lambda s, d: parsed(s, d))
 add("input_manifest", lambda s, d: manifest(s, d))
 
 
 def parsed(spark, d):
-    """Entries written as markup and read back: nodeid, senses and runs as read."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;")
-    run = lambda r: F.when(r["t"] == "ar", F.concat(F.lit("<foreign>"), esc(r["v"]), F.lit("</foreign>"))).when(r["t"] == "i", F.concat(F.lit("<hi>"), esc(r["v"]), F.lit("</hi>"))).otherwise(esc(r["v"]))
-    body = F.array_join(F.transform(F.filter("senses", lambda x: x.isNotNull()), lambda x: F.concat(F.lit('<sense type="A" n="1"/>'), F.array_join(F.transform(F.filter(F.coalesce(x["runs"], F.array().cast("array<struct<t: string, v: string>>")), lambda r: r.isNotNull()), run), " "))), "")
+    """Dictionary entries written as markup, with dividers, references, page breaks and stray ampersands, and read back."""
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    tags = {"ar": "foreign", "i": "hi", "q": "quote"}
+
+    def run(r):
+        out = F.when(r["t"] == "ref", F.concat(F.lit('<ref target="'), esc(r["v"]), F.lit('"/>')))
+        for t, tag in tags.items():
+            out = out.when(r["t"] == t, F.concat(F.lit(f"<{tag}>"), esc(r["v"]), F.lit(f"</{tag}>")))
+        return out.otherwise(esc(r["v"]))
+
+    def sense(x, k):
+        mark = F.concat(F.lit('<sense type="'), F.when(x["level"] == "major", "A").otherwise("B"), F.lit('" n="'), (k + 1).cast("string"), F.lit('"/><form><orth>unread</orth></form>'))
+        told = F.filter(x["runs"], lambda r: F.trim(r["v"]) != "")
+        return F.concat(mark, F.array_join(F.transform(F.coalesce(told, F.array().cast("array<struct<t: string, v: string>>")), run), " &<pb/> "))
+
+    body = F.array_join(F.transform(F.filter("senses", lambda x: x.isNotNull()), sense), "")
     xml = _latest_entries(spark, d).select("nodeid", F.concat(F.lit("<entry>"), F.coalesce(body, F.lit("")), F.lit("</entry>")).alias("xml"))
-    return N.parse_markup(xml, "nodeid", "xml").select("nodeid", F.size("senses").alias("senses"), F.size(F.flatten(F.transform("senses", lambda x: x["runs"]))).alias("runs"))
+    got = N.parse_markup(xml, "nodeid", "xml").select("nodeid", F.posexplode("senses").alias("sense_no", "s"))
+    return got.select("nodeid", "sense_no", "s.label", "s.level", F.posexplode("s.runs").alias("run_no", "r")).select("nodeid", "sense_no", "label", "level", "run_no", "r.t", "r.v")
+
+
+add(
+    "parse_markup",
+    parsed,
+    rf"""WITH {ENT}, s AS (SELECT nodeid, unnest(list_filter(senses, lambda x: x IS NOT NULL)) AS s, generate_subscripts(list_filter(senses, lambda x: x IS NOT NULL), 1) AS k FROM ent),
+r AS (SELECT nodeid, k, s.level AS lv, list_filter(s.runs, lambda r: trim(r.v) <> '') AS rs FROM s),
+u AS (SELECT nodeid, k, lv, unnest(rs) AS r, generate_subscripts(rs, 1) AS p, len(rs) AS n FROM r WHERE len(rs) > 0),
+e AS (SELECT nodeid, k, lv, 2 * p AS p, CASE WHEN r.t IN ('ar', 'i', 'q', 'ref') THEN r.t ELSE 't' END AS t, r.v AS v FROM u UNION ALL SELECT nodeid, k, lv, 2 * p + 1, 't', ' & ' FROM u WHERE p < n),
+g AS (SELECT *, row_number() OVER (PARTITION BY nodeid, k ORDER BY p) - row_number() OVER (PARTITION BY nodeid, k, t ORDER BY p) AS g FROM e),
+m AS (SELECT nodeid, k, lv, t, g, min(p) AS p, regexp_replace(string_agg(v, '' ORDER BY p), '\s+', ' ', 'g') AS v FROM g GROUP BY ALL)
+SELECT nodeid, CAST(dense_rank() OVER (PARTITION BY nodeid ORDER BY k) - 1 AS INTEGER) AS sense_no, CASE WHEN lv = 'major' THEN 'A' ELSE 'B' END || k AS label, CASE WHEN lv = 'major' THEN 'major' ELSE 'sub' END AS level,
+CAST(row_number() OVER (PARTITION BY nodeid, k ORDER BY p) - 1 AS INTEGER) AS run_no, t, CASE WHEN p = max(p) OVER (PARTITION BY nodeid, k) THEN rtrim(v) ELSE v END AS v FROM m""",
+)
+_ITEM = f"([«({{»)}}]|[{A.letters}{A.strip}]+)"
+add(
+    "quoted_words",
+    lambda s, d: Q.quoted_words(latest_by(table(s, d, "witness"), ["witness_id"], "loaded_at", ["text"]), "witness_id", "text"),
+    f"""WITH w AS (SELECT witness_id, regexp_extract_all(text, '{_ITEM}') xs FROM (SELECT *, row_number() OVER (PARTITION BY witness_id ORDER BY loaded_at DESC NULLS LAST) rn FROM witness) WHERE rn = 1),
+m AS (SELECT witness_id, unnest(xs) x, generate_subscripts(xs, 1) n FROM w), t AS (SELECT *, CASE WHEN x IN ('«', '(', '{{') THEN 1 WHEN x IN ('»', ')', '}}') THEN -1 END st FROM m),
+s AS (SELECT *, coalesce(sum(st) OVER o, 0) AS s, count(*) FILTER (WHERE st IS NULL) OVER o - 1 AS i FROM t WINDOW o AS (PARTITION BY witness_id ORDER BY n)), f AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY witness_id ORDER BY n)) > 0 AS inside FROM s)
+SELECT witness_id, CAST(i AS INTEGER) AS i, x AS word, inside FROM f WHERE st IS NULL""",
+)

@@ -99,22 +99,6 @@ add(
     lambda s, d: _records(s, d).groupBy("corpus").agg(F.count(F.lit(1)).alias("records"), F.max("number").alias("number_max"), F.bool_or(F.col("zawaidnote").isNotNull()).alias("has_notes")),
     f"WITH {REC} SELECT corpus, count(*) AS records, max(number) AS number_max, bool_or(zawaidnote IS NOT NULL) AS has_notes FROM rec GROUP BY corpus",
 )
-add(
-    "range_join",
-    lambda s, d: range_parts(_records(s, d)),
-    f"""WITH {REC}, g(lo, hi, part) AS (VALUES (1, 50, 'a'), (40, 120, 'b'), (121, 400, 'c')), n AS (SELECT id, unnest(numberscovered) n FROM rec)
-SELECT id, min_by(part, (n, lo)) AS part, min(n) AS n FROM n JOIN g ON n BETWEEN lo AND hi GROUP BY id""",
-)
-
-
-def range_parts(records):
-    """The recitation part of each record's first covered number. The ranges are a fixed list of three, made into one
-    expression: no join at all."""
-    ranges = [(1, 50, "a"), (40, 120, "b"), (121, 400, "c")]
-    n = records.select("id", F.explode("numberscovered").alias("n")).where("n is not null")
-    hits = F.filter(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(p).alias("part")) for lo, hi, p in ranges]), lambda g: (F.col("n") >= g["lo"]) & (F.col("n") <= g["hi"]))
-    n = n.select("id", "n", F.explode(hits).alias("g"))
-    return n.groupBy("id").agg(F.min_by("g.part", F.struct("n", "g.lo")).alias("part"), F.min("n").alias("n"))
 
 
 # Lines of documents

@@ -217,13 +217,6 @@ add(
     + ", ".join(f"regexp_replace(translate({FOLD.format(c)}, 'ء', 'ا'), '[^ء-ي]', '', 'g') {n}" for c, n in (("root", "a"), ("lane_root", "b")))
     + " FROM s) SELECT match_id, length(a) = length(b) AND len(list_filter(range(1, length(a) + 1), lambda i: substr(regexp_replace(a, '[وي]', '#', 'g'), i, 1) NOT IN ('#', substr(b, i, 1)))) = 0 AS ok FROM k",
 )
-add(
-    "source_precedence",
-    lambda s, d: _surface("root", "lane_root")(s, d).select("match_id", *[c.alias(n) for c, n in zip(X.merge_roots(X.root_key("root"), X.root_key("lane_root"), X.root_key("root") == X.root_key("lane_root")), ("merged", "basis"))]),
-    "WITH s AS (SELECT DISTINCT match_id, root, lane_root FROM surface), k AS (SELECT match_id, "
-    + ", ".join(f"regexp_replace(translate({FOLD.format(c)}, 'ء', 'ا'), '[^ء-ي]', '', 'g') {n}" for c, n in (("root", "a"), ("lane_root", "b")))
-    + " FROM s) SELECT match_id, coalesce(a, b) AS merged, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a = b THEN 'agree' ELSE 'differ' END WHEN a IS NOT NULL THEN 'first-only' WHEN b IS NOT NULL THEN 'second-only' END AS basis FROM k",
-)
 
 
 # Records and documents

@@ -36,15 +36,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests on one
-    machine) a temporary folder that becomes the setting."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a
+    temporary folder, which becomes the setting; a cluster is refused, for its executors would write to their own
+    disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/wordloom/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -53,9 +63,8 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/wordloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

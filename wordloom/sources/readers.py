@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,21 +29,28 @@ def header_fields(df: DataFrame, key: str, header: str, placeholders: tuple[str,
 
 
 def json_units(spark: SparkSession, path: str, array: str = "hadiths", text: str = "arabic", order: str = "id") -> DataFrame:
-    """Units of JSON files that hold an array, bare or under a key: unit_no, text; blank texts are left out. The files
-    are read as VARIANT, so an array and an object of arrays go through one reader."""
+    """Units of JSON files that hold an array, bare or under a key: unit_no, text, line (the line grammar's opener,
+    "number - text"); blank texts are left out. The files are read as VARIANT, so an array and an object of arrays go
+    through one reader."""
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{array}", "array<variant>"))
     rows = raw.select(F.explode(items).alias("u")).select(F.try_variant_get("u", f"$.{order}", "bigint").alias("unit_no"), F.try_variant_get("u", f"$.{text}", "string").alias("text"))
-    return rows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    rows = rows.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return rows.withColumn("line", F.concat_ws(" - ", F.col("unit_no").cast("string"), F.trim(F.regexp_replace("text", r"\s+", " "))))
 
 
 def witness_units(spark: SparkSession, path: str) -> DataFrame:
-    """unit_no, text of a witness edition: the first column of a CSV with a header, or JSON units."""
+    """unit_no, text of a witness edition: the first column of CSV files with a header, numbered from 0 by file and
+    row, or JSON units. A multi-line CSV file is never split, so a row's place in its file does not hang on splits."""
     if path.rstrip("/").endswith(".json"):
-        return json_units(spark, path)
+        return json_units(spark, path).select("unit_no", "text")
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     first = rows.columns[0]
-    return rows.select(F.monotonically_increasing_id().alias("unit_no"), F.col(f"`{first}`").alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    placed = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col(f"`{first}`").alias("text"))
+    # One row a file: the rows before it, by the order of the files' names.
+    files = placed.groupBy("file").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    files = files.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(files, "file").select((F.col("before") + F.col("at") - F.col("first")).alias("unit_no"), "text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -63,16 +70,19 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select("file", state.alias("state")).where("state is not null")
 
 
-def write_shards(df: DataFrame, path: str, shard: str, fmt: str = "json", codec: str = "gzip") -> None:
-    """One folder a shard, its rows gathered in one partition each; only the shards that df has are replaced, so that
-    a collection can be rebuilt alone."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.repartition(shard).write.mode("overwrite").partitionBy(shard).option("compression", codec).format(fmt).save(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+def write_shards(df: DataFrame, path: str, shard: str, fmt: str = "json", codec: str = "gzip", parts: int = 1) -> None:
+    """One folder a shard, its rows in `parts` files, written by as many tasks; only the shards that df has are
+    replaced, so that a collection can be rebuilt alone."""
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != shard]), F.lit(parts))
+    out = df.repartition(F.col(shard), salt)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).option("compression", codec).format(fmt).save(path)
+
+
+def shard_sizes(spark: SparkSession, path: str, shard: str) -> DataFrame:
+    """shard, files, bytes of what write_shards() left; the files' contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    name = F.regexp_extract("path", rf"/{shard}=([^/]*)/", 1)
+    return files.groupBy(name.alias(shard)).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 def nested_records(tokens: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
