@@ -80,14 +80,14 @@ def upper_median(df: DataFrame, value: str) -> DataFrame:
 def majority_vote(df: DataFrame, key: str, vote: str, known: DataFrame | None = None) -> DataFrame:
     """key, winner, votes (its count), cast (all counts), basis: the vote given most often. Of several the one that the
     one-column table `known` holds, if it holds just one of them ("known"), else the lowest ("unresolved")."""
-    n = df.where(F.col(vote).isNotNull() & F.col(key).isNotNull()).groupBy(key, vote).agg(F.count(F.lit(1)).alias("n"))
+    n = df.where(F.col(vote).isNotNull() & F.col(key).isNotNull()).groupBy(key, vote).agg(F.count(F.lit(1)).alias("__n"))
     flag = F.lit(False)
     if known is not None:
         n = n.join(known.select(F.col(known.columns[0]).alias(vote)).distinct().withColumn("__known", F.lit(True)), vote, "left")
         flag = F.coalesce("__known", F.lit(False))
-    n = n.withColumn("k", flag)
-    best = n.groupBy(key).agg(F.max("n").alias("votes"), F.sum("n").alias("cast"))
-    top = n.join(best, key).where(F.col("n") == F.col("votes")).groupBy(key, "votes", "cast").agg(F.count(F.lit(1)).alias("tied"), F.count_if("k").alias("tied_known"), F.min(F.when(F.col("k"), F.col(vote))).alias("of_known"), F.min(vote).alias("lowest"))
+    n = n.withColumn("__k", flag)
+    best = n.groupBy(key).agg(F.max("__n").alias("votes"), F.sum("__n").alias("cast"))
+    top = n.join(best, key).where(F.col("__n") == F.col("votes")).groupBy(key, "votes", "cast").agg(F.count(F.lit(1)).alias("tied"), F.count_if("__k").alias("tied_known"), F.min(F.when(F.col("__k"), F.col(vote))).alias("of_known"), F.min(vote).alias("lowest"))
     one = F.col("tied") == 1
     basis = F.when(one & (F.col("cast") == F.col("votes")), "unanimous").when(one, "majority").when(F.col("tied_known") == 1, "known").otherwise("unresolved")
     return top.select(key, F.when(basis == "known", F.col("of_known")).otherwise(F.col("lowest")).alias("winner"), "votes", "cast", basis.alias("basis"))
