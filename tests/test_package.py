@@ -111,3 +111,31 @@ def test_sticky_front_brute(spark):
 def test_quoted_words(spark):
     df = spark.createDataFrame([(1, "قال « هذا (من) بعد » ثم ) في { كل"), (2, ""), (3, None)], "k int, t string")
     assert [(r["word"], r["inside"]) for r in Q.quoted_words(df, "k", "t").orderBy("i").collect()] == [("قال", False), ("هذا", True), ("من", True), ("بعد", True), ("ثم", False), ("في", False), ("كل", True)]
+
+
+def test_shred_maps_escapes_and_carries(spark):
+    from wordloom.operators.shred import schema_graph, shred
+
+    df = spark.createDataFrame([("a/b%", {"x": 1, "y": None}, [("p", {"k": ("z",)})]), ("c", None, None)], "id string, m map<string,int>, l array<struct<n: string, q: map<string,struct<w: string>>>>")
+    t = shred(df, "id", schema_graph({"top": df.schema}), "top", {"top": ["id"]})
+    assert rows(t["m"].select("top_id", "row_key", "pos", "key", "value")) == [("a/b%", "a%2Fb%25/m/0", 0, "x", 1), ("a/b%", "a%2Fb%25/m/1", 1, "y", None)]
+    assert rows(t["q"].select("top_id", "parent_key", "key", "value_w")) == [("a/b%", "a%2Fb%25/l/0", "k", "z")]
+
+
+def test_observed_schema_and_nodes(spark):
+    from pyspark.sql import types as T
+
+    from wordloom.operators.shred import json_nodes, observed_schema, widen
+
+    declared = T.StructType([T.StructField("a", T.StringType()), T.StructField("l", T.ArrayType(T.StructType([T.StructField("n", T.StringType())])))])
+    bodies = ['{"a": 1, "l": {"n": "x", "more": 2}}', '{"l": [{"n": "y", "more": "z"}, null, {"deep": {"u": [true]}}], "top": null}', "{broken", None, "3"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, b string")
+    got = observed_schema(df, "b", declared)
+    assert got.names == ["a", "l", "top"] and got["l"].dataType.elementType.names == ["n", "deep", "more"]
+    assert got["l"].dataType.elementType["deep"].dataType.simpleString() == "struct<u:array<string>>" and observed_schema(df.limit(0), "b", declared) == declared
+    one = spark.createDataFrame([("q", [("n",), None]), ("r", None)], declared)
+    wide = one.select(widen(F.struct("a", "l"), declared, got).alias("s")).select("s.*")
+    assert wide.schema["l"].dataType == got["l"].dataType and [len(r["l"]) if r["l"] else None for r in wide.orderBy("a").collect()] == [2, None]
+    nodes = {(r["id"], r["row_key"]): (r["kind"], r["value"], r["depth"]) for r in json_nodes(df, "id", "b").collect()}
+    assert nodes[0, "$.l.more"] == ("BIGINT", "2", 2) and nodes[1, "$.l[2].deep.u[0]"] == ("BOOLEAN", "true", 5) and nodes[4, "$"][0] == "BIGINT" and (2, "$") not in nodes
+    assert json_nodes(df.limit(0), "id", "b").count() == 0
