@@ -39,8 +39,13 @@ def test_top_n_hot_and_cold(spark, heavy):
     rng = random.Random(1)
     rows = [(rng.choice(["hot"] * 5 + ["a", "b", "c", None]), rng.choice([None, 1, 2, 3, 9]), f"m{rng.randrange(400)}") for _ in range(900)]
     df = spark.createDataFrame(rows, "g string, s long, m string").withColumn("place", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("cells", F.lit(1))
-    got = N.top_n_per_group(df, "g", "s", "m", 3, heavy_rows=heavy, heavy_share=0.0)
-    assert tuples(got) == brute_top(rows, 3)
+    for listed in (1, 500_000):
+        assert tuples(N.top_n_per_group(df, "g", "s", "m", 3, heavy_rows=heavy, listed=listed)) == brute_top(rows, 3)
+
+
+def test_top_n_of_equal_rows_in_a_heavy_group(spark):
+    df = spark.createDataFrame([("g", 1, "a")] * 500 + [("g", 1, "b")], "g string, s long, m string")
+    assert tuples(N.top_n_per_group(df, "g", "s", "m", 3, heavy_rows=50)) == [("g", k, "a") for k in (1, 2, 3)]
 
 
 def test_top_n_empty_and_small(spark):
@@ -61,10 +66,16 @@ def test_term_counts_brute(spark):
         known = [t for t in ts or [] if t is not None]
         freq.update(known)
         docs.update(set(known))
-    df = spark.createDataFrame(rows, "id long, terms array<string>").withColumn("term", F.lit("clash"))
-    for d in (df, df.repartition(9)):
-        assert tuples(C.term_counts(d, "terms")) == sorted(((t, freq[t], docs[t]) for t in freq), key=str)
-    assert C.term_counts(df.limit(0), "terms").count() == 0
+    tokens = [(i, t) for i, ts in rows for t in ts or []] + [(None, "x")]
+    rng.shuffle(tokens)
+    df = spark.createDataFrame(tokens, "id long, t string").withColumn("term", F.lit("clash")).withColumn("record", F.lit(1))
+    want = sorted(((t, freq[t], docs[t]) for t in freq), key=str)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("10000", "7", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert tuples(C.term_counts(df, "t", "id")) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert C.term_counts(df.limit(0), "t", "id").count() == 0
 
 
 def test_marks(spark):

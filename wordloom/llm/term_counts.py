@@ -1,9 +1,10 @@
 """Problem 4: occurrences and records of every distinct term, by last-seen counters.
 
-Records are hash-partitioned; in each task tokens pass in record order and every term keeps three numbers: its
-occurrences, its records, and the last record it was seen in. A term counts a new record only when that last
-record differs, so no set of records per term is ever held. The counters of a batch leave it as partial rows
-that a hash shuffle on the term adds up: a term that makes up a third of all tokens sends one row a batch.
+Tokens are hash-partitioned and pass in the order of term and record. A term's counter holds three things: its
+occurrences, its records, and the last record it was seen in; a token counts a new record only when that last record
+differs, so no set of records a term is ever held. The counter outlives Arrow's batches. Tokens of one term in one
+record always meet in one partition, those of other records may lie elsewhere: a term that makes up a third of all
+tokens is spread over all partitions, and its counters, one row a partition, are added up by a hash shuffle.
 """
 
 from __future__ import annotations
@@ -23,44 +24,49 @@ RARE_RECORDS = 1
 COMMON_SHARE = (1, 5)  # a term is common in at least one record of five
 
 
+def _changes(values: pa.Array, last: pa.Scalar | None) -> np.ndarray:
+    """Whether each value differs from the one before it, the first from `last`."""
+    first = last is None or values[0].as_py() != last.as_py()
+    rest = pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return np.r_[first, rest].astype(bool)
+
+
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of one row a record (its terms as a list) to (term, occurrences, records) of the batch.
+    """(term, record) in the order of both, to (term, freq, doc_freq) of the partition."""
+    term = record = None  # the open counter's term and the last record it was seen in ...
+    freq = docs = 0  # ... its occurrences and records
+
+    def rows(terms: list, freqs: list, doc_freqs: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(terms, pa.string()), pa.array(freqs, pa.int64()), pa.array(doc_freqs, pa.int64())], names=["term", "freq", "doc_freq"])
 
-    A record lies in one row, hence in one batch, so the partial counts of records add up exactly.
-    """
     for batch in batches:
-        lists = batch.column(0)
-        if len(lists) == 0:
-            continue
-        owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        terms = pc.list_flatten(lists)
-        keep = pc.is_valid(terms)
-        owner, terms = owner[keep.to_numpy(zero_copy_only=False)], terms.filter(keep)
+        terms, records = batch.column(0), batch.column(1)
         if len(terms) == 0:
             continue
-        coded = terms.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        # Tokens come in record order; a stable sort by term keeps that order within each term, and the last
-        # seen record of a token is then that of the token before it.
-        at = np.argsort(code, kind="stable")
-        code, owner = code[at], owner[at]
-        first = np.r_[True, code[1:] != code[:-1]]
-        unseen = first | np.r_[True, owner[1:] != owner[:-1]]
-        n = len(coded.dictionary)
-        yield pa.record_batch(
-            [coded.dictionary.cast(pa.string()), pa.array(np.bincount(code, minlength=n).astype("int64")), pa.array(np.bincount(code[unseen], minlength=n).astype("int64"))],
-            names=["term", "freq", "doc_freq"],
-        )
-
-
-def term_counts(df: DataFrame, terms: str) -> DataFrame:
-    """Columns term, freq, doc_freq over df, whose rows are records with the array column `terms`.
-
-    Null arrays and empty ones have no terms; null terms are not counted, the empty string is a term like any
-    other. Callers pass each record once. An empty df gives no rows; other columns are never read.
+        new = _changes(terms, term)
+        unseen = new | _changes(records, record)
+        starts = np.flatnonzero(np.r_[True, new[1:]])
+        n, d = np.diff(np.r_[starts, len(terms)]), np.add.reduceat(unseen.astype("int64"), starts)
+        if not new[0]:
+            n[0], d[0] = n[0] + freq, d[0] + docs
+        elif term is not None:
+            yield rows([term.as_py()], [freq], [docs])
+        if len(starts) > 1:
+            yield rows(terms.take(pa.array(starts[:-1])), n[:-1], d[:-1])
+        term, record, freq, docs = terms[-1], records[-1], int(n[-1]), int(d[-1])
+    if term is not None:
+        yield rows([term.as_py()], [freq], [docs])
+
+
+def term_counts(df: DataFrame, term: str, record: str) -> DataFrame:
+    """Columns term, freq, doc_freq over df, one row a token: its term and the record it stands in, in any order.
+
+    Rows with a null term or record are not counted; the empty string is a term like any other. An empty df gives no
+    rows; other columns are never read.
     """
-    parts = df.select(F.col(terms).cast("array<string>").alias("terms")).where(F.size("terms") > 0)
-    parts = parts.mapInArrow(_counters, "term string, freq bigint, doc_freq bigint")
+    tokens = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("string").alias("record")).dropna()
+    ordered = tokens.repartition("term", "record").sortWithinPartitions("term", "record")
+    parts = ordered.mapInArrow(_counters, "term string, freq bigint, doc_freq bigint")
     return parts.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("doc_freq").alias("doc_freq"))
 
 
@@ -72,17 +78,14 @@ def mark_terms(counts: DataFrame, n_records: F.Column, rare: int = RARE_RECORDS,
     return counts.withColumn("mark", mark)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform("tokens", lambda t: t["matchid"]).alias("terms")
-    src = table(spark, sf_dir, "bindings").select("record_id", "loaded_at", ids)
-    return latest_by(src, ["record_id"], "loaded_at", ["terms"])
-
-
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, freq, doc_freq, mark of every matchid used in bindings; of a record_id the latest row counts."""
-    records = materialise(_records(spark, sf_dir), "p4-records")
+    ids = F.transform("tokens", lambda t: t["matchid"]).alias("terms")
+    src = table(spark, sf_dir, "bindings").select("record_id", "loaded_at", ids)
+    records = materialise(latest_by(src, ["record_id"], "loaded_at", ["terms"]), "p4-records")
     total = records.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return mark_terms(term_counts(records, "terms"), total).withColumnRenamed("term", "match_id")
+    tokens = records.select("record_id", F.explode("terms").alias("term"))
+    return mark_terms(term_counts(tokens, "term", "record_id"), total).withColumnRenamed("term", "match_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,46 +12,40 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.skew import LIST, tag_heavy
 from wordloom.session import latest_by, materialise, table
 
-#: A group is heavy beyond this many rows ...
-HEAVY_ROWS = 2_000
-#: ... and beyond this share of all rows, so that there are fewer than 1 / share heavy groups, whatever the
-#: data: the bound on what is broadcast (one BIGINT hash and one INT a group).
-HEAVY_SHARE = 1 / 10_000
+#: A group is heavy beyond this many rows, whatever the size of the data; a cell of it holds about as many.
+HEAVY_ROWS = 10_000
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, heavy_rows: int = HEAVY_ROWS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, heavy_rows: int = HEAVY_ROWS, listed: int = LIST) -> DataFrame:
     """Columns group, place (1..n), item: the n rows of each group with the highest score, ties to the lower item.
 
     Rows with a null group, score or item drop out. Equal rows are counted as often as they come (a caller who
     wants an item once passes distinct items). Groups of fewer than n rows keep all; an empty df gives no rows;
-    columns other than the three are never read, so their names cannot clash.
+    columns other than the three are never read, so their names cannot clash. The list of heavy groups is broadcast
+    up to `listed` groups; of a longer one the heaviest are, and the others joined by a shuffle.
     """
     if n < 1 or not math.isfinite(n):
         raise ValueError("n must be a positive number")
     rows = df.select(F.col(group).alias("g"), F.col(score).alias("s"), F.col(item).alias("i")).dropna()
-    rows = materialise(rows, "topn-rows")
+    # The row's own number is its salt: equal rows, however many, do not meet in one cell.
+    rows = materialise(rows.select("g", "s", "i", F.xxhash64("g").alias("h"), F.monotonically_increasing_id().alias("no")), "topn-rows")
     order = [F.col("s").desc(), F.col("i").asc()]
 
-    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    limit = F.greatest(F.lit(heavy_rows).cast("double"), total * F.lit(heavy_share))
     # Groups meet by a 64-bit hash: a light group that shares a heavy one's hash is merely salted too.
-    heavy = counts.where(F.col("c") > limit).select(F.xxhash64("g").alias("h"), F.ceil(F.col("c") / limit).cast("int").alias("cells"))
-    heavy = heavy.groupBy("h").agg(F.max("cells").alias("cells"))
+    marked = tag_heavy(rows, "h", heavy_rows, listed)
+    whole = Window.partitionBy("g").orderBy(*order)
+    light = marked.where(F.col("c").isNull()).select("g", "s", "i").withColumn("place", F.row_number().over(whole)).where(F.col("place") <= n)
 
-    # One pass tells hot rows from cold ones: `cells` is null for the cold.
-    marked = rows.withColumn("h", F.xxhash64("g")).join(F.broadcast(heavy), "h", "left")
-    light_w = Window.partitionBy("g").orderBy(*order)
-    light = marked.where(F.col("cells").isNull()).select("g", "s", "i").withColumn("place", F.row_number().over(light_w)).where(F.col("place") <= n)
-
-    salted = marked.where(F.col("cells").isNotNull()).select("g", "s", "i", F.pmod(F.xxhash64("i", "s"), F.col("cells")).alias("cell"))
+    cells = F.ceil(F.col("c") / heavy_rows)
+    salted = marked.where(F.col("c").isNotNull()).select("g", "s", "i", F.pmod("no", cells).alias("cell"))
     # Range partitions on (group, cell) keep a cell whole, so the window below needs no further shuffle.
-    cells = salted.repartitionByRange("g", "cell")
-    cell_w = Window.partitionBy("g", "cell").orderBy(*order)
-    best = cells.withColumn("r", F.row_number().over(cell_w)).where(F.col("r") <= n).select("g", "s", "i")
-    hot = best.withColumn("place", F.row_number().over(light_w)).where(F.col("place") <= n)
+    parts = salted.repartitionByRange("g", "cell")
+    in_cell = Window.partitionBy("g", "cell").orderBy(*order)
+    best = parts.withColumn("r", F.row_number().over(in_cell)).where(F.col("r") <= n).select("g", "s", "i")
+    hot = best.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= n)
     out = light.unionByName(hot)
     return out.select(F.col("g").alias(group), F.col("place").cast("int").alias("place"), F.col("i").alias(item))
 
