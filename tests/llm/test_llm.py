@@ -206,6 +206,30 @@ def test_mix_lands_each_source_by_its_own_size(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_landing_puts_tokens_first():
+    # One in at 0.5 of nine equal texts and one long one: no count of texts is kept at the tokens' cost.
+    for size, prob in (([900.0, 100, 100, 100, 100], [0.5, 0, 1, 0, 1]), ([5.0, 7, 11, 13, 500], [0.3, 0.6, 1, 0, 0])):
+        want = sum(a * b for a, b in zip(size, prob))
+        got = X.landing(size, prob)
+        best = min(abs(sum(s for k, s in enumerate(size) if m >> k & 1) - want) for m in range(32))
+        assert set(got) <= {0.0, 1.0} and abs(sum(a * b for a, b in zip(size, got)) - want) <= best + 50
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, "a", 10)] * 5 + [(1, "a", 10)] * 5 + [(2, "b", 100)]
+    sizes = spark.createDataFrame(rows, "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = X.mix(sizes, targets)
+    assert got.where("source = 'a'").agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] == 100 and got.count() == 11
+
+
+def test_trade(spark):
+    sizes = spark.createDataFrame([(1, "a", 100), (2, "b", 100), (3, "c", 0)], "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.25, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: (r["total_at_cap"], r["sets_total"], r["tokens_then"], r["short_then"]) for r in X.trade(sizes, targets).collect()}
+    assert got == {"a": (200, True, 150, 0.0), "b": (800, False, 300, 0.375)}
+
+
 def test_mix_empty(spark):
     sizes = spark.createDataFrame([], "id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -362,7 +386,7 @@ def test_llm_query(spark, sf, name):
     got = sorted(tuple(str(v) for v in r) for r in df.collect())
     if sql := registry.ORACLE.get(name):
         con = duckdb.connect()
-        for t in ("surface", "bindings", "documents"):
+        for t in ("surface", "bindings", "documents", "mix_targets"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         rel = con.sql(sql)
         at = [rel.columns.index(c) for c in df.columns]

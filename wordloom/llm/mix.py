@@ -18,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.encode import Vocab, token_counts
@@ -66,30 +66,60 @@ def flight(size: list[float], prob: list[float], rng: random.Random) -> list[flo
         hand = [i for i in hand if 0 < p[i] < 1]
 
 
-def landing(size: list[float], prob: list[float], rounds: int = 64) -> list[float]:
+#: Texts of a cell whose sums by twos are tried where single exchanges cannot come nearer; of more, an even choice by
+#: size.
+PAIRED = 200
+
+
+def _moves(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """What the sum of tokens gains by taking texts in or out: one in, one out, one for another, two for one and one for
+    two. Of the exchanges of one for another only those that may be the best for some miss are in the first lists."""
+    ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+    pick = lambda x: x if len(x) <= PAIRED else x[np.argsort(n[x], kind="stable")][np.linspace(0, len(x) - 1, PAIRED).astype(int)]
+    gain, what = [-n[ins], n[outs]], [[(int(i),) for i in ins], [(int(j),) for j in outs]]
+    few_in, few_out = pick(ins), pick(outs)
+    for one, two, sign in ((few_in, few_out, 1), (few_out, few_in, -1)):
+        if len(one) and len(two) > 1:
+            x, y = np.triu_indices(len(two), 1)
+            pairs = n[two[x]] + n[two[y]]
+            at = np.argsort(pairs, kind="stable")[np.linspace(0, len(pairs) - 1, min(len(pairs), 4 * PAIRED)).astype(int)]
+            gain.append((sign * (pairs[at][None, :] - n[one][:, None])).ravel())
+            what.append([(int(i), int(two[x[k]]), int(two[y[k]])) for i in one for k in at])
+    return np.concatenate(gain), [m for w in what for m in w]
+
+
+def landing(size: list[float], prob: list[float]) -> list[float]:
     """The open texts (two at most after a whole flight) set to 0 or 1, the sum of tokens as near to the expected
-    one as can be at the nearest number of texts.
+    one as can be, then the number of texts.
 
     An open text may be far longer than the rest, and rounding it then misses the sum by much; the miss is made
-    up by exchanging a chosen text of the cell for another, the best such pair each time, while that helps.
+    up by exchanges within the cell, the best each time, until none comes nearer. Each comes nearer by a whole token
+    at least (sizes are whole), so this ends.
     """
     n, p = np.array(size), np.array(prob)
     want, open_ = float(n @ p), np.flatnonzero((p > 0) & (p < 1))
-    tries = product((0.0, 1.0), repeat=len(open_))
-    best = min(tries, key=lambda x: (abs(round(sum(x) - p[open_].sum(), 6)), abs(np.dot(x, n[open_]) - want + n @ np.where((p > 0) & (p < 1), 0, p)), x))
+    settled = n @ np.where((p > 0) & (p < 1), 0, p)
+    best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(np.dot(x, n[open_]) + settled - want), abs(round(sum(x) - p[open_].sum(), 6)), x))
     p[open_] = best
-    for _ in range(rounds):
+    while True:
         miss = want - float(n @ p)
         ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
-        if abs(miss) < 1 or not len(ins) or not len(outs):
+        if abs(miss) < 1:
             break
-        outs = outs[np.argsort(n[outs], kind="stable")]
-        at = np.searchsorted(n[outs], n[ins] + miss)
-        left = [(abs(miss - (n[outs[j]] - n[i])), i, outs[j]) for i, k in zip(ins, at) for j in (k - 1, k) if 0 <= j < len(outs)]
-        gap, i, j = min(left)
-        if gap >= abs(miss):
+        gap, move = abs(miss), None
+        if len(ins) and len(outs):
+            by = outs[np.argsort(n[outs], kind="stable")]
+            at = np.searchsorted(n[by], n[ins] + miss)
+            gap, i, j = min([(abs(miss - (n[by[k]] - n[i])), int(i), int(by[k])) for i, m in zip(ins, at) for k in (m - 1, m) if 0 <= k < len(by)] + [(gap, -1, -1)])
+            move = (i, j) if i >= 0 else None
+        if gap >= 1:
+            gain, what = _moves(n, p)
+            k = int(np.argmin(np.abs(miss - gain)))
+            if abs(miss - gain[k]) < gap:
+                gap, move = abs(miss - gain[k]), what[k]
+        if move is None or gap > abs(miss) - 1e-6:
             break
-        p[i], p[j] = 0.0, 1.0
+        p[list(move)] = 1 - p[list(move)]
     return p.tolist()
 
 
@@ -128,15 +158,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, cell_r
     plan = plan.select("source", F.floor(r + _EPS).cast("int").alias("base"), F.greatest(r - F.floor(r + _EPS), F.lit(0.0)).alias("p"), "texts")
     units = rows.join(plan, "source").select(
         F.col("id"), "source", "n_tokens", "base", "p",
+        F.monotonically_increasing_id().alias("no"),
         F.xxhash64("id", "n_tokens").alias("key"),
         F.ceil(F.col("texts") / cell_rows).cast("bigint").alias("cells"),
         (F.pmod(F.xxhash64("id", "source"), F.col("texts")) < cell_rows).alias("pool"),
     ).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))
     )
     units = materialise(units, "mix-units")
-    id_dt = units.schema["id"].dataType.simpleString()
-    schema = f"id {id_dt}, source string, n double, p double, key bigint, cell bigint, cells bigint, pool boolean"
-    open_ = units.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("id", "source", F.col("n_tokens").cast("double").alias("n"), "p", "key", "cell", "cells", "pool")
+    schema = "no bigint, source string, n double, p double, key bigint, cell bigint, cells bigint, pool boolean"
+    open_ = units.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("no", "source", F.col("n_tokens").cast("double").alias("n"), "p", "key", "cell", "cells", "pool")
     cells = math.ceil(most["n"] / cell_rows)
     # Two open texts a cell are left: cell_rows / 2 cells of them make a full cell again.
     fewer = F.ceil(F.col("cells") / (cell_rows // 2)).cast("bigint")
@@ -158,8 +188,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, cell_r
         open_ = open_.unionByName(waiting.where("cells <= 1"))
         waiting = waiting.where("cells > 1")
         cells = math.ceil(cells / (cell_rows // 2))
-    extra = done.where("p = 1").select("id", "source", F.lit(1).alias("extra"))
-    chosen = units.join(extra, ["id", "source"], "left")
+    # Rows meet by their own number: ids may be null or repeat.
+    extra = done.where("p = 1").select("no", F.lit(1).alias("extra"))
+    chosen = units.join(extra, "no", "left")
     copies = F.col("base") + F.coalesce("extra", F.when(F.col("p") >= 1 - _EPS, 1).otherwise(0))
     return chosen.select("id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
@@ -185,6 +216,27 @@ def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame
     )
 
 
+def trade(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row a listed source that has texts: total_at_cap, the total at which it has given all its repeats; sets_total,
+    whether that is the total that mix() takes; and what a mix of that total would be: tokens_then, the tokens that
+    all sources could give, and short_then, the sum of the shares that sources ran short of. mix(total=...) takes it.
+
+    The running sums are over the list of sources, a row each, not over texts.
+    """
+    have = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens_there"))
+    t = targets.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").join(have, "source")
+    most = F.col("max_repeats") * F.col("tokens_there")
+    t = t.withColumns({"most": most, "total_at_cap": most / F.col("target_share")})
+    order = Window.orderBy("total_at_cap", "source")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    then = F.sum("most").over(upto) + F.coalesce(F.sum("target_share").over(after), F.lit(0.0)) * F.col("total_at_cap")
+    short = F.sum("target_share").over(upto) - F.sum("most").over(upto) / F.col("total_at_cap")
+    return t.select(
+        "source", "target_share", "max_repeats", "tokens_there", F.floor("total_at_cap").cast("bigint").alias("total_at_cap"), (F.row_number().over(order) == 1).alias("sets_total"),
+        F.floor(then + 1e-6).cast("bigint").alias("tokens_then"), F.round(F.greatest(short, F.lit(0.0)), 6).alias("short_then"),
+    )
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     listed = table(spark, sf_dir, "mix_targets").select("source").distinct()
@@ -206,5 +258,22 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(materialise(mix(sizes, targets), "mix-chosen"), sizes, targets)
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-ORACLE: dict[str, str] = {}
+def p7_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a larger total would cost: which source runs short at which total, and by how much."""
+    return trade(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a target: whether the mix keeps to the source's repeats, takes whole texts of that source only, and comes
+    within a hundredth of the share that its texts allow."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    chosen = materialise(mix(sizes, targets), "mix-chosen")
+    own = chosen.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("true_source")), "id").where(F.col("source") == F.col("true_source")).groupBy("source").agg(F.count(F.lit(1)).alias("own"))
+    all_ = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
+    got = shares(chosen, sizes, targets).join(all_, "source", "left").join(own, "source", "left")
+    near = F.abs(F.col("share_reached") - F.col("share_possible")) <= 0.01 * F.col("share_possible")
+    return got.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), F.col("all").eqNullSafe(F.col("own")).alias("own_texts"), near.alias("on_target"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_trade": p7_trade, "p7_checked": p7_checked}
+ORACLE = {"p7_checked": "SELECT source, true AS within_repeats, true AS own_texts, true AS on_target FROM mix_targets"}
