@@ -94,19 +94,19 @@ UNLIKE = [("على", "علي"), ("كتابة", "كتابه"), ("أن", "إن"),
 
 @pytest.mark.parametrize("a, b", ALIKE)
 def test_alike(a, b):
-    t = U.Transducer()
+    t = U.compiled()
     assert t(a) == t(b)
     assert t(t(a)) == t(a)
 
 
 @pytest.mark.parametrize("a, b", UNLIKE)
 def test_unlike(a, b):
-    t = U.Transducer()
+    t = U.compiled()
     assert t(a) != t(b)
 
 
 def test_transducer_edges():
-    t = U.Transducer()
+    t = U.compiled()
     assert t(None) is None and t("") == "" and t("​‏") == "" and t("  ") == ""
     assert len(t("ك" * 200_000)) == 200_000
     for same, place in (({"x": "y", "y": "z"}, []), ({"x": "é"}, []), ({"x": "a"}, [("x", "b", None)])):
@@ -119,6 +119,24 @@ def test_same_looking_pairs(spark):
     df = spark.createDataFrame(rows, "m string, f string, g string").withColumn("looks", F.lit(1)).withColumn("f0", F.lit("clash"))
     assert tuples(U.same_looking_pairs(df, "m", ["f", "g"])) == [("a", "b"), ("b", "c")]
     assert U.same_looking_pairs(df.limit(0), "m", ["f", "g"]).count() == 0
+    got = {(r["item"], r["links"]) for r in U.same_looking_classes(df, "m", ["f", "g"]).collect()}
+    assert got == {("a", 1), ("b", 0), ("b", 2), ("c", 1), ("e", 0)}
+
+
+def test_transducer_composes_as_unicode_does():
+    import unicodedata
+
+    rng = random.Random(8)
+    t = U.compiled()
+    plain = [chr(c) for c in [*range(0x61, 0x7B), *range(0x621, 0x64B)] if chr(c) not in t.single]
+    marks = [chr(c) for c in [*range(0x300, 0x310), 0x323, *range(0x64B, 0x656), 0x670] if chr(c) not in t.single]
+    for _ in range(3000):
+        text = "".join(rng.choice(plain) + "".join(rng.choices(marks, k=rng.choice([0, 1, 1, 2, 3]))) for _ in range(3))
+        want = unicodedata.normalize("NFC", text).replace(*U.SEATED)
+        assert t(text) == want or U.SEATED[0][0] in text
+        assert t(t(text)) == t(text)
+    # Every entry of the whole mapping goes through again unchanged.
+    assert all(t(t(c)) == t(c) for c in t.single)
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
