@@ -14,6 +14,7 @@ finite table holds, is put together from the trie's matches with its marks in Un
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -86,8 +87,8 @@ class Transducer:
         self._check()
         body = "".join(map(regex.escape, sorted(unseen)))
         self.clusters = regex.compile(rf"[^\p{{M}}{body}]?[\p{{M}}{body}]*+", regex.DOTALL)
-        touched = "".join(map(regex.escape, sorted({*self.single, *self.by_place})))
-        self.touched = regex.compile(rf"[{touched}]|{SEATED[0]}|\s\s|^\s|\s$|[^\S ]")
+        # One character class: those of the basic plane that change, and all beyond it.
+        self.touched = re.compile("[" + "".join(re.escape(c) for c in sorted({*self.single, *self.by_place}) if c < "\U00010000") + "\U00010000-\U0010ffff]").search
         self.known: dict[tuple[str, bool], str] = {}
 
     def _rule(self, parts: str, joins: bool) -> str:
@@ -147,8 +148,9 @@ class Transducer:
         """Null stays null; spaces at the ends do not show and go, and a run of spaces is one."""
         if text is None:
             return None
-        if not self.touched.search(text) and unicodedata.is_normalized("NFC", text):
-            return text  # no entry matches anywhere
+        if not self.touched(text) and unicodedata.is_normalized("NFC", text) and SEATED[0] not in text:
+            # No entry matches anywhere; only spaces may have to go.
+            return " ".join(x for x in text.split(" ") if x) if " " in text else text
         cut = [c for c in self.clusters.findall(text) if c]
         out, known = [], self.known
         for cluster, after in zip(cut, [*cut[1:], ""]):
