@@ -288,14 +288,36 @@ def test_spam_edges(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     assert S.page_scores(df, "doc_id", "text").where("is_spam").count() == 0
     assert S.page_scores(df.limit(0), "doc_id", "text").count() == 0
-    assert len(S.classes("lamp " * 300_000)[0]) == 300_000
+    kinds, codes, words, weight = S.tokens("lamp " * 300_000)
+    assert len(kinds) == 300_000 and words == ["lamp"] and S.classes(kinds, codes, [False]) == "K" * 300_000
+    assert S.tokens("[" + "a " * 400 + "](https://a.example/x)")[0] == "U" and S.tokens("[" + "a " * 400 + "](https://a.example/x)")[3] == [400]
+    assert len(S.tokens("[" * 200_000)[0]) == 0
 
 
 def test_perplexity_is_of_trigrams():
-    cls = "FCFCPB" * 50
-    m = S.Model({S.gram_name(int(g)): int(n) for g, n in zip(*__import__("numpy").unique(S.grams(cls), return_counts=True))})
-    starts, score = m.windows(cls)
-    assert score.max() < 1.2 < m.windows("UBUBUBUBUBUBUBUBUBUB")[1].min()
+    import numpy as np
+
+    pages = S.Pages(["FCFCPB" * 50, "", "UB" * 10], ["text", "text", "verse"])
+    counts = np.bincount(pages.grams[:300], minlength=S._N**3)
+    assert {S.gram_name(int(g)) for g in np.flatnonzero(counts)} == {"^^F", "^FC", "FCF", "CFC", "FCP", "CPB", "PBF", "BFC"}
+    models = np.array([S.log_probabilities(counts)] * len(S.LAYOUTS))
+    page, start, end, score = pages.windows(pages.surprise(models))
+    assert score[page == 0].max() < 1.2 < score[page == 2].min() and not (page == 1).any()
+    # Against a plain loop: the windows of a page cover it and step evenly, the last one ends with it.
+    for n in (1, 15, 16, 17, 24, 25, 40, 41):
+        _, a, b, _ = S.Pages(["C" * n], ["text"]).windows(np.zeros(n))
+        want = list(range(0, max(1, n - S.WINDOW + 1), S.STEP))
+        want += [n - S.WINDOW] if n > S.WINDOW and want[-1] + S.WINDOW < n else []
+        assert a.tolist() == want and b.tolist() == [min(x + S.WINDOW, n) for x in want]
+
+
+def test_function_words_are_each_languages_own(spark):
+    rng = random.Random(9)
+    rows = [(lang, " ".join(rng.choice(f) if rng.random() < 0.4 else f"{lang.lower()}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(80))) for lang, f in (("en", ["the", "of"]), ("EN", ["the", "of"]), ("xx", ["ka", "ko"])) for _ in range(50)]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "id long, lang string, text string")
+    read = df.mapInArrow(S._tokenise, "id long, lang string, kinds string, codes binary, words array<string>, times array<int>, weight binary")
+    assert {r["word"] for r in S.function_words(read).collect()} <= {"the", "of", "ka", "ko"}
+    assert len(S.function_words(read).collect()) >= 2 and S.function_words(read.limit(0)).count() == 0
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------

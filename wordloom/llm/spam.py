@@ -1,60 +1,82 @@
 """Problem 8: keyword-stuffed pages and link lists, by the perplexity of word-class sequences.
 
-A page is read as a sequence of classes: function word, content word, content word the page keeps repeating, echo
-(the refrain or rhyme that ends its lines), link, tag, number, and the marks between. A trigram model of these
-classes is trained on the corpus's own prose: all pages without links, tags and stuffing. Prose, chains, verse,
-litanies, glossaries and indexes are made of transitions that prose has; lists of links, tags, search words and
-product phrases are not, and strings of one class are far too easy. Every window of a page is scored; windows whose
-perplexity lies outside the band of the training pages' windows are abnormal, high or low, and a page is spam when
-most of its words lie in abnormal windows, so that sentences put around a list do not hide it.
+A page is read as a sequence of classes: function word, content word, content word that the page keeps repeating, echo
+(the refrain or rhyme that ends its lines), link, tag, number, and the marks between. Which words are function words is
+induced from the corpus: the head of a language's words that takes up a good part of its running text and stands in
+many of its pages. A trigram model of the classes is trained on the corpus's own prose, which is every page with enough
+function words, and fitted again without the pages that it finds abnormal, until spam that reads like prose has lost its
+say in it. Prose, chains, verse, litanies, glossaries and indexes are made of transitions that prose has; lists of
+links, tags, search words and product phrases are not, and strings of one class are far too easy. Every window of a page
+is scored; windows whose perplexity lies outside the band of the training pages' windows are abnormal, high or low, and
+a page is spam when most of its words lie in abnormal windows, so that sentences put around a list do not hide it.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.session import materialise, table
 
-# Function words of the corpus's languages, and the verbs and heads that chains and chapters open with.
-FUNCTION_WORDS = {
-    "ar": "في عن قال من أن على إلى كان ما ثم لا إذا هو هي هذا ذلك الذي التي بعد قبل غير عند بين كل بل حتى قد أو لم له لها لن إن به فيه مع دون كيف حين و يا أي لو",
-    "chain": "حدثنا أخبرنا أنبأنا سمعت روى بن ابن باب كتاب فضل ذكر بيان السؤال الجواب",
-    "en": "the a of and in to is that it as was for with on by an this which from at be are or his they he not upon were had have but q",
-    "fa": "که این از را در با برای تا چون هر یا نیز پس بود شد است آن بر",
-    "ur": "کے کی کا کو میں نے سے اور ہے ہیں پر یہ وہ تھا تک جو بھی",
-}
 CLASSES = "FCKEULTNPMSVBDQ^"
-# F function word, C content word, K stuffed content word, E echo, U link, L link at the end of a text of its
-# own, T tag, N number, P sentence mark, M comma, S list mark, V verse divider, B line end, D colon, Q dots before a page number, ^ start.
-
-#: The share of a page's words that its often repeated words must make up together to count as stuffed.
-STUFFED = 0.15
+# F function word, C content word, K content word that the page repeats, E echo, U link, L link at the end of a text of
+# its own, T tag, N number, P sentence mark, M comma, S list mark, V verse divider, B line end, D colon, Q dots before a
+# page number, ^ start.
+
+#: A language's function words make up this part of its running text, and each stands in this part of its pages.
+HEAD, SPREAD = 0.3, 0.4
+#: A language tag counts as a language when it has this part of the pages; so there are few enough to keep their heads.
+LANGUAGE = 0.01
+#: A content word is one the page repeats from so many times on, and when it is this part of its content words.
+TIMES, OFTEN = 4, 1 / 20
 #: A link after so many words of its line is cited by them; after fewer they are only its title.
 CITED = 7
 
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}ـ]+")
 _TOKEN = regex.compile(
-    r"(?P<W>(?!https?://|www\.)[\p{L}_]+)|(?P<U><a\s[^>]*>.*?</a>|\[[^\]\n]{0,200}\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\])]+)"
+    r"(?P<W>(?!https?://|www\.)[\p{L}_]+)|(?P<U><a\s[^>]*>.*?</a>|\[[^\[\]\n]*+\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s<>\])]+)"
     r"|(?P<T>#[\p{L}\p{N}_]+)|(?P<N>\p{N}+)|(?P<Q>\.{3,}|…)|(?P<P>[.!?؟؛;۔]+)|(?P<M>[,،]+)|(?P<D>:+)|(?P<B>\s*[\r\n]\s*)|(?P<V>\*{2,})|(?P<S>[|/•·»›–—-]+)",
     regex.IGNORECASE | regex.DOTALL,
 )
-_FUNCTION = {w for ws in FUNCTION_WORDS.values() for w in ws.split()}
+# Fixed value: letters that languages of one script write differently, folded for counting.
 _FOLD = str.maketrans("يكةى", "یکهی")
-_FUNCTION |= {w.translate(_FOLD) for w in _FUNCTION}
 
 #: Tokens a window has, and the step to the next.
 WINDOW, STEP = 16, 8
 
+_SPLIT = regex.compile(regex.sub(r"\(\?P<\w>", "(?:", _TOKEN.pattern), _TOKEN.flags)
+_READ: dict[str, tuple[str, str, int]] = {}
+
+
+def _read(token: str) -> tuple[str, str, int]:
+    """A token's kind, folded word and number of words; kept, for pages share most of their tokens."""
+    m = _TOKEN.fullmatch(token)
+    kind = m.lastgroup
+    word = token.lower().translate(_FOLD) if kind == "W" else ""
+    if len(_READ) > 300_000:
+        _READ.clear()
+    _READ[token] = got = (kind, word, 0 if kind in "PMSVBDQ" else max(1, len(token.split()) - 1) if kind == "U" else 1)
+    return got
+
+
+def tokens(text: str | None) -> tuple[str, list[int], list[str], list[int]]:
+    """A page's kinds (a letter a token), the code of each token's word (-1: none), the distinct words by code, and how
+    many words each token stands for (a linked title has several)."""
+    if not text:
+        return "", [], [], []
+    known = [_READ.get(t) or _read(t) for t in _SPLIT.findall(_UNSEEN.sub("", text))]
+    words: dict[str, int] = {}
+    codes = [words.setdefault(w, len(words)) if k == "W" else -1 for k, w, _ in known]
+    return "".join(k for k, _, _ in known), codes, list(words), [n for _, _, n in known]
 
-def _echo(lines: list[list[str]]) -> list[int]:
+
+def _echo(lines: list[list[int]], function: list[bool]) -> list[int]:
     """How many words at the end of each line are its refrain or rhyme; 0 where lines share no ending.
 
     Lines share an ending when at least three and a quarter of them close alike and those that go before it say
@@ -62,18 +84,18 @@ def _echo(lines: list[list[str]]) -> list[int]:
     """
     ends = Counter(ln[-1] for ln in lines if ln)
     out = [0] * len(lines)
-    for word, n in ends.most_common(4):
+    for word, n in ends.most_common():
         if n < 3 or n < 0.25 * len(lines):
             break
         at = [i for i, ln in enumerate(lines) if ln and ln[-1] == word]
         size = 1
-        while size < 12:
+        while True:
             longer = Counter(tuple(lines[i][-size - 1 :]) for i in at if len(lines[i]) > size)
-            if not longer or (best := longer.most_common(1)[0])[1] < 0.8 * len(at):
+            if not longer or longer.most_common(1)[0][1] < 0.8 * len(at):
                 break
             size += 1
         front = [lines[i][:-size] for i in at]
-        own = Counter(w for f in front for w in f if w not in _FUNCTION)
+        own = Counter(w for f in front for w in f if not function[w])
         told = sum(1 for f in front if len(f) >= 2)
         if told < 3 or told < 0.3 * len(at) or sum(1 for c in own.values() if c == 1) < 0.5 * sum(own.values()):
             continue
@@ -82,63 +104,37 @@ def _echo(lines: list[list[str]]) -> list[int]:
     return out
 
 
-_SPLIT = regex.compile(regex.sub(r"\(\?P<\w>", "(?:", _TOKEN.pattern), _TOKEN.flags)
-_READ: dict[str, tuple[str, str, int]] = {}
-
-
-def _read(token: str) -> tuple[str, str, int]:
-    """A token's kind, folded word and number of words; kept, for pages share most of their tokens."""
-    m = _TOKEN.fullmatch(token)
-    kind = m.lastgroup
-    word = token.lower().translate(_FOLD) if kind == "W" else ""
-    if len(_READ) > 300_000:
-        _READ.clear()
-    _READ[token] = got = (kind, word, 0 if kind in "PMSVBDQ" else max(1, len(token.split()) - 1) if kind == "U" else 1)
-    return got
-
-
-def classes(text: str | None) -> tuple[str, list[int]]:
-    """The page's classes, one letter a token, and how many words each stands for (a linked title has several)."""
-    if not text:
-        return "", []
-    known = [_READ.get(t) or _read(t) for t in _SPLIT.findall(_UNSEEN.sub("", text))]
-    kinds, words, weight = [k for k, _, _ in known], [w for _, w, _ in known], [n for _, _, n in known]
-    lines, at = [[]], [[]]
+def classes(kinds: str, codes: list[int], function: list[bool]) -> str:
+    """The page's classes, one letter a token. function: whether the word of each code is a function word."""
+    out, at = list(kinds), [[]]
     for i, k in enumerate(kinds):
         if k == "B":
-            lines.append([])
             at.append([])
         elif k == "W":
-            lines[-1].append(words[i])
             at[-1].append(i)
-    echo = set()
-    for pos, size in zip(at, _echo(lines)):
-        echo.update(pos[len(pos) - size :] if size else [])
-    content = [w for i, w in enumerate(words) if w and w not in _FUNCTION and i not in echo]
-    freq, total = Counter(content), sum(1 for w in words if w)
-    # A page is stuffed by some words together; one word that comes often is only its subject.
-    stuffed = {w: c for w, c in freq.items() if c >= 4 and c > 0.04 * total}
-    if sum(stuffed.values()) < STUFFED * total:
-        stuffed = {}
-    out, said = [], 0
-    for i, (k, w) in enumerate(zip(kinds, words)):
+    if len(at) > 3:
+        for pos, size in zip(at, _echo([[codes[i] for i in p] for p in at], function)):
+            for i in pos[len(pos) - size :] if size else []:
+                out[i] = "E"
+    content = Counter(codes[i] for p in at for i in p if out[i] == "W" and not function[codes[i]])
+    least = max(TIMES, OFTEN * sum(content.values()))
+    said = 0
+    for i, k in enumerate(kinds):
         if k == "W":
             said += 1
-            k = "E" if i in echo else "F" if w in _FUNCTION else "K" if w in stuffed else "C"
+            if out[i] == "W":
+                out[i] = "F" if function[codes[i]] else "K" if content[codes[i]] >= least else "C"
         elif k in "BU":
             if k == "U" and said >= CITED:
-                k = "L"
+                out[i] = "L"
             said = 0
-        out.append(k)
-    return "".join(out), weight
+    return "".join(out)
 
 
 def is_prose(cls: str) -> bool:
-    """Pages the model learns from: enough words, function words among them or page numbers behind them, no link
-    or tag and hardly a stuffed word."""
+    """Pages that the model learns from: enough words, and function words among them or page numbers behind them."""
     n = sum(cls.count(c) for c in "FCKE")
-    told = cls.count("F") >= 0.1 * n or cls.count("N") >= 0.3 * n
-    return n >= 20 and told and "U" not in cls and "T" not in cls and cls.count("K") <= 0.05 * n
+    return n >= 20 and (cls.count("F") >= 0.1 * n or cls.count("N") >= 0.3 * n)
 
 
 _CODE = np.zeros(256, "int64")
@@ -146,12 +142,6 @@ _CODE[[ord(c) for c in CLASSES]] = range(len(CLASSES))
 _N = len(CLASSES)
 
 
-def grams(cls: str) -> np.ndarray:
-    """The number of each token's trigram: its class after the two before it."""
-    code = _CODE[np.frombuffer(("^^" + cls).encode("ascii"), "uint8")]
-    return (code[:-2] * _N + code[1:-1]) * _N + code[2:]
-
-
 def gram_name(number: int) -> str:
     return CLASSES[number // _N // _N] + CLASSES[number // _N % _N] + CLASSES[number % _N]
 
@@ -161,44 +151,19 @@ def gram_name(number: int) -> str:
 MIX = (0.7, 0.2, 0.07, 0.03)
 
 
-class Model:
-    """Class trigrams interpolated with shorter ones; log2 probability of each token of a page."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        tri, bi, uni = Counter(counts), Counter(), Counter()
-        for g, n in counts.items():
-            bi[g[1:]] += n
-            uni[g[2]] += n
-        ctx3, ctx2, total = Counter(), Counter(), max(1, sum(uni.values()))
-        for g, n in tri.items():
-            ctx3[g[:2]] += n
-        for g, n in bi.items():
-            ctx2[g[0]] += n
-
-        def prob(g: str) -> float:
-            low = MIX[2] * uni[g[2]] / total + MIX[3] / len(CLASSES)
-            two = bi[g[1:]] / ctx2[g[1]] if ctx2[g[1]] else uni[g[2]] / total
-            three = tri[g] / ctx3[g[:2]] if ctx3[g[:2]] else two
-            return MIX[0] * three + MIX[1] * two + low
-
-        self.lp = np.array([math.log2(prob(gram_name(i))) for i in range(_N**3)])
-
-    def tokens(self, cls: str) -> np.ndarray:
-        return self.lp[grams(cls)]
-
-    def windows(self, cls: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows and the mean surprise (log2 perplexity) of each; a short page is one window."""
-        lp = -self.tokens(cls)
-        n = len(lp)
-        starts = np.arange(0, max(1, n - WINDOW + 1), STEP)
-        if n > WINDOW and starts[-1] + WINDOW < n:
-            starts = np.r_[starts, n - WINDOW]
-        total = np.r_[0, np.cumsum(lp)]
-        ends = np.minimum(starts + WINDOW, n)
-        return starts, (total[ends] - total[starts]) / np.maximum(1, ends - starts)
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """log2 probability of each trigram's last class, of counts of trigrams interpolated with shorter ones."""
+    tri = counts.reshape(_N, _N, _N).astype(float)
+    bi = tri.sum(0)
+    uni = bi.sum(0) / max(1.0, bi.sum())
+    of3, of2 = tri.sum(2, keepdims=True), bi.sum(1, keepdims=True)
+    two = np.where(of2 > 0, bi / np.maximum(of2, 1), uni[None, :])
+    three = np.where(of3 > 0, tri / np.maximum(of3, 1), two[None, :, :])
+    return np.log2(MIX[0] * three + MIX[1] * two[None] + MIX[2] * uni[None, None] + MIX[3] / _N).ravel()
 
 
 _HEAD = regex.compile("B[CFK]{1,2}D")
+LAYOUTS = ("text", "verse", "contents", "index", "glossary")
 
 
 def layout(cls: str) -> str:
@@ -212,111 +177,199 @@ def layout(cls: str) -> str:
     return "glossary" if heads >= 3 and heads >= 0.5 * cls.count("B") else "text"
 
 
-def abnormal_share(cls: str, weight: bytes, model: Model, low: float, high: float) -> tuple[float, float]:
-    """The share of the page's words that lie in windows outside [low, high], and the page's mean surprise."""
-    if not cls:
-        return 0.0, 0.0
-    starts, score = model.windows(cls)
-    odd = (score > high) | (score < low)
-    ends = np.minimum(starts + WINDOW, len(cls))
-    seen = np.cumsum(np.bincount(starts, minlength=len(cls) + 1) - np.bincount(ends, minlength=len(cls) + 1))[:-1]
-    votes = np.cumsum(np.bincount(starts, odd, len(cls) + 1) - np.bincount(ends, odd, len(cls) + 1))[:-1]
-    bad = votes * 2 >= np.maximum(seen, 1)
-    w = np.frombuffer(weight, "uint8").astype(float)
-    return float((w * bad).sum() / max(1.0, w.sum())), float(-model.tokens(cls).mean())
+class Pages:
+    """A batch of pages laid end to end: every step is one operation over all their tokens."""
+
+    def __init__(self, cls: list[str], lay: list[str]) -> None:
+        self.n = np.array([len(c) for c in cls], "int64")
+        self.at = np.cumsum(self.n) - self.n
+        self.page = np.repeat(np.arange(len(cls)), self.n)
+        code = _CODE[np.frombuffer("".join("^^" + c for c in cls).encode("ascii"), "uint8")]
+        here = np.arange(self.n.sum()) + 2 * (self.page + 1)  # each page has two starts before it
+        self.grams = (code[here - 2] * _N + code[here - 1]) * _N + code[here]
+        self.lay = np.array([LAYOUTS.index(x) for x in lay], "int64")
+
+    def surprise(self, models: np.ndarray) -> np.ndarray:
+        """-log2 probability of each token under its page's model; models: a row a layout."""
+        return -models[self.lay[self.page], self.grams] if len(self.page) else np.zeros(0)
+
+    def windows(self, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """page, start, end and mean surprise (log2 perplexity) of every window; a short page is one, an empty page none."""
+        whole = np.where(self.n > 0, np.maximum(0, self.n - WINDOW) // STEP + 1, 0)
+        tail = ((self.n > WINDOW) & ((self.n - WINDOW) % STEP > 0)).astype("int64")
+        k = whole + tail
+        page = np.repeat(np.arange(len(k)), k)
+        nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        start = np.minimum(nth * STEP, np.maximum(0, self.n[page] - WINDOW)) + self.at[page]
+        end = np.minimum(start + WINDOW, self.at[page] + self.n[page])
+        total = np.r_[0.0, np.cumsum(lp)]
+        return page, start, end, (total[end] - total[start]) / np.maximum(1, end - start)
+
+    def abnormal(self, models: np.ndarray, bands: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each page the share of its words that lie in windows outside its layout's band, and its mean surprise."""
+        lp = self.surprise(models)
+        page, start, end, score = self.windows(lp)
+        # The mean of fewer tokens than a window's spreads wider, by the root of their number.
+        wide = np.sqrt(WINDOW / np.maximum(1, end - start))
+        middle, half = bands[self.lay[page]].mean(1), (bands[self.lay[page], 1] - bands[self.lay[page], 0]) / 2 * wide
+        low, high = middle - half, middle + half
+        odd = ((score > high) | (score < low)).astype(float)
+        size = len(lp) + 1
+        seen = np.cumsum(np.bincount(start, minlength=size) - np.bincount(end, minlength=size))[:-1]
+        votes = np.cumsum(np.bincount(start, odd, size) - np.bincount(end, odd, size))[:-1]
+        bad = votes * 2 >= np.maximum(seen, 1) - 1e-9
+        sums = lambda v: np.bincount(self.page, v, len(self.n))
+        return sums(weight * bad) / np.maximum(1.0, sums(weight)), sums(lp) / np.maximum(1, self.n)
 
 
 #: Width of the bins in which the training windows' surprise is counted, and their number.
 BIN, BINS = 0.02, 800
 #: A window is abnormal this many robust standard deviations from its layout's median.
-DEVIATIONS = 4.5
-#: A page is spam when this share of its words lies in abnormal windows.
-MAJORITY = 0.5
+DEVIATIONS = 3.5
+#: A page is spam when this share of its words lies in abnormal windows; one with more than DOUBT of them abnormal is left
+#: out when the model is fitted again, which is done FITS times in all.
+MAJORITY, DOUBT, FITS = 0.5, 0.25, 3
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, lang, text to id, lang, kinds, codes, words, times (of each word), weight."""
     for batch in batches:
-        cls, weight = [], []
-        for text in batch.column(1).to_pylist():
-            c, w = classes(text)
-            cls.append(c)
-            weight.append(bytes(min(255, x) for x in w))
-        yield pa.record_batch(
-            [batch.column(0), pa.array(cls, pa.string()), pa.array(weight, pa.binary()), pa.array(list(map(layout, cls))), pa.array(list(map(is_prose, cls)))],
-            names=["id", "cls", "weight", "layout", "prose"],
-        )
+        got = [tokens(t) for t in batch.column(2).to_pylist()]
+        times = [np.bincount(np.array([c for c in codes if c >= 0], "int64"), minlength=len(words)).astype("int32") for _, codes, words, _ in got]
+        ints = lambda x: np.array(x, "<i4").tobytes()
+        columns = [
+            batch.column(0), batch.column(1), pa.array([k for k, _, _, _ in got], pa.string()), pa.array([ints(c) for _, c, _, _ in got], pa.binary()),
+            pa.array([w for _, _, w, _ in got], pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())), pa.array([ints(n) for _, _, _, n in got], pa.binary()),
+        ]
+        yield pa.record_batch(columns, names=["id", "lang", "kinds", "codes", "words", "times", "weight"])
+
+
+def function_words(pages: DataFrame) -> DataFrame:
+    """word: of each language (a tag in lower case; those without one are a language too) the most frequent words that
+    make up HEAD of its running text together, as far as each stands in SPREAD of its pages.
+
+    Counts combine before their shuffle; the window runs over the words that stand in SPREAD of a language's pages,
+    of which there are at most 1 / SPREAD times the words of a page.
+    """
+    n = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
+    tag = F.lower(F.coalesce("lang", F.lit("")))
+    sizes = pages.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LANGUAGE * n)
+    per = pages.select(tag.alias("tag"), F.inline(F.arrays_zip("words", "times"))).groupBy("tag", "words").agg(F.count(F.lit(1)).alias("df"), F.sum("times").alias("tf"))
+    per = per.join(F.broadcast(sizes), "tag")
+    text = per.groupBy("tag").agg(F.sum("tf").alias("all_tf"))
+    often = per.where(F.col("df") >= SPREAD * F.col("pages")).join(F.broadcast(text), "tag")
+    upto = F.sum("tf").over(Window.partitionBy("tag").orderBy(F.col("tf").desc(), "words").rowsBetween(Window.unboundedPreceding, 0))
+    return often.withColumn("upto", upto).where(F.col("upto") <= HEAD * F.col("all_tf")).select(F.col("words").alias("word")).distinct()
+
+
+def _classify(function: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = []
+            for kinds, codes, words in zip(*(batch.column(c).to_pylist() for c in ("kinds", "codes", "words"))):
+                cls.append(classes(kinds, np.frombuffer(codes, "<i4").tolist(), [w in function for w in words]))
+            yield pa.record_batch(
+                [batch.column("id"), pa.array(cls, pa.string()), batch.column("weight"), pa.array(list(map(layout, cls)), pa.string()), pa.array(list(map(is_prose, cls)), pa.bool_())],
+                names=["id", "cls", "weight", "layout", "prose"],
+            )
+
+    return run
+
+
+def _pages(batch: pa.RecordBatch) -> tuple[Pages, np.ndarray]:
+    weight = b"".join(batch.column("weight").to_pylist())
+    return Pages(batch.column("cls").to_pylist(), batch.column("layout").to_pylist()), np.frombuffer(weight, "<i4").astype(float)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((len(LAYOUTS), _N**3), "int64")
     for batch in batches:
-        total: dict[str, np.ndarray] = {}
-        for cls, lay in zip(batch.column("cls").to_pylist(), batch.column("layout").to_pylist()):
-            total[lay] = total.get(lay, 0) + np.bincount(grams(cls), minlength=_N**3)
-        for lay, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lay] * len(at)), pa.array([gram_name(i) for i in at.tolist()]), pa.array(n[at])], names=["layout", "gram", "n"])
+        p, _ = _pages(batch)
+        np.add.at(total, (p.lay[p.page], p.grams), 1)
+    lay, at = np.nonzero(total)
+    yield pa.record_batch([pa.array(lay.astype("int32")), pa.array(at.astype("int32")), pa.array(total[lay, at])], names=["layout", "gram", "n"])
 
 
-def _histogram(models: dict[str, Model]):
+def _histogram(models: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(LAYOUTS), BINS), "int64")
         for batch in batches:
-            total: dict[str, np.ndarray] = {}
-            for cls, lay in zip(batch.column("cls").to_pylist(), batch.column("layout").to_pylist()):
-                bins = np.minimum(models[lay].windows(cls)[1] / BIN, BINS - 1).astype("int64")
-                total[lay] = total.get(lay, 0) + np.bincount(bins, minlength=BINS)
-            for lay, n in total.items():
-                at = np.flatnonzero(n)
-                yield pa.record_batch([pa.array([lay] * len(at)), pa.array(at.astype("int32")), pa.array(n[at])], names=["layout", "bin", "n"])
+            p, _ = _pages(batch)
+            page, _, _, score = p.windows(p.surprise(models))
+            np.add.at(total, (p.lay[page], np.minimum(score / BIN, BINS - 1).astype("int64")), 1)
+        lay, at = np.nonzero(total)
+        yield pa.record_batch([pa.array(lay.astype("int32")), pa.array(at.astype("int32")), pa.array(total[lay, at])], names=["layout", "bin", "n"])
 
     return run
 
 
-def _score(models: dict[str, Model], bands: dict[str, tuple[float, float]], id_type: pa.DataType):
+def _keep(models: np.ndarray, bands: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = Model({})
         for batch in batches:
-            got = []
-            for cls, weight, lay in zip(*(batch.column(c).to_pylist() for c in ("cls", "weight", "layout"))):
-                lay = lay if lay in models else "text"
-                got.append(abnormal_share(cls, weight, models.get(lay, text), *bands.get(lay, (0.0, math.inf))))
-            yield pa.record_batch([batch.column("id").cast(id_type), pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["id", "abnormal_share", "surprise"])
+            p, weight = _pages(batch)
+            yield batch.filter(pa.array(p.abnormal(models, bands, weight)[0] <= DOUBT))
 
     return run
 
 
-def page_scores(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns id, abnormal_share, surprise, is_spam: one row for each row of df.
+def _score(models: np.ndarray, bands: np.ndarray, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, weight = _pages(batch)
+            share, surprise = p.abnormal(models, bands, weight)
+            yield pa.record_batch([batch.column("id").cast(id_type), pa.array(share), pa.array(surprise)], names=["id", "abnormal_share", "surprise"])
+
+    return run
+
 
-    Null, empty and wordless texts score 0 and are no spam; copies score alike. The model and its bands come from
-    all prose pages of df: what reaches the driver is the table of class trigrams (15 classes, 5 layouts) and a
-    histogram of fixed bins, whatever the size of df. Without prose to learn from nothing is spam.
+def _fit(prose: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The models (a row a layout) and their bands (low, high). A layout that no prose has is read by the model of
+    running text; without any prose nothing is abnormal."""
+    counts = np.zeros((len(LAYOUTS), _N**3))
+    for r in prose.mapInArrow(_count, "layout int, gram int, n bigint").groupBy("layout", "gram").agg(F.sum("n").alias("n")).collect():
+        counts[r["layout"], r["gram"]] = r["n"]
+    models = np.array([log_probabilities(c if c.any() else counts[0]) for c in counts])
+    bins = np.zeros((len(LAYOUTS), BINS))
+    for r in prose.mapInArrow(_histogram(models), "layout int, bin int, n bigint").groupBy("layout", "bin").agg(F.sum("n").alias("n")).collect():
+        bins[r["layout"], r["bin"]] = r["n"]
+    bands = np.tile([-1e9, 1e9], (len(LAYOUTS), 1))
+    for k, h in enumerate(bins):
+        h = h if h.any() else bins[0]
+        if h.any():
+            q1, q2, q3 = (float(np.searchsorted(np.cumsum(h), q * h.sum()) + 0.5) * BIN for q in (0.25, 0.5, 0.75))
+            sd = max((q3 - q1) / 1.349, 0.2)
+            bands[k] = (q2 - DEVIATIONS * sd, q2 + DEVIATIONS * sd)
+    return models, bands
+
+
+def page_scores(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """Columns id, abnormal_share, surprise, is_spam: one row for each row of df. lang: a column with a tag of the page's
+    language, null or wrong for some; without one all pages are one language.
+
+    Null, empty and wordless texts score 0 and are no spam; copies score alike. Function words, models and bands come
+    from all pages of df: what reaches the driver is the list of function words (at most 1 / SPREAD times the words of a
+    page for each of at most 1 / LANGUAGE languages), a table of class trigrams (16 classes, 5 layouts) and a histogram
+    of fixed bins, whatever the size of df. Without prose to learn from nothing is spam.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    src = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    tag = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
+    src = df.select(F.col(key).alias("id"), tag.alias("lang"), F.col(text).cast("string").alias("text"))
     id_dt = src.schema["id"].dataType.simpleString()
-    pages = materialise(src.mapInArrow(_classify, f"id {id_dt}, cls string, weight binary, layout string, prose boolean"), "spam-classes")
-    prose = pages.where("prose").select("cls", "layout")
-    counts: dict[str, dict[str, int]] = {}
-    for r in prose.mapInArrow(_count, "layout string, gram string, n bigint").groupBy("layout", "gram").agg(F.sum("n").alias("n")).collect():
-        counts.setdefault(r["layout"], {})[r["gram"]] = r["n"]
-    models = {k: Model(c) for k, c in counts.items()}
-    bins: dict[str, np.ndarray] = {}
-    if models:
-        for r in prose.mapInArrow(_histogram(models), "layout string, bin int, n bigint").groupBy("layout", "bin").agg(F.sum("n").alias("n")).collect():
-            bins.setdefault(r["layout"], np.zeros(BINS, "int64"))[r["bin"]] = r["n"]
-    bands = {}
-    for k, h in bins.items():
-        q1, q2, q3 = (float(np.searchsorted(np.cumsum(h), q * h.sum()) + 0.5) * BIN for q in (0.25, 0.5, 0.75))
-        sd = max((q3 - q1) / 1.349, 0.2)
-        bands[k] = (q2 - DEVIATIONS * sd, q2 + DEVIATIONS * sd)
+    read = materialise(src.mapInArrow(_tokenise, f"id {id_dt}, lang string, kinds string, codes binary, words array<string>, times array<int>, weight binary"), "spam-tokens")
+    function = frozenset(r["word"] for r in function_words(read).collect())
+    pages = materialise(read.select("id", "kinds", "codes", "words", "weight").mapInArrow(_classify(function), f"id {id_dt}, cls string, weight binary, layout string, prose boolean"), "spam-classes")
+    prose = pages.where("prose").select("cls", "weight", "layout")
+    models, bands = _fit(prose)
+    for _ in range(FITS - 1):
+        models, bands = _fit(materialise(prose.mapInArrow(_keep(models, bands), "cls string, weight binary, layout string"), "spam-prose"))
     out = pages.select("id", "cls", "weight", "layout").mapInArrow(_score(models, bands, to_arrow_type(src.schema["id"].dataType)), f"id {id_dt}, abnormal_share double, surprise double")
     return out.withColumn("is_spam", F.col("abnormal_share") > MAJORITY)
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, abnormal_share, surprise, is_spam of every document."""
-    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return page_scores(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
