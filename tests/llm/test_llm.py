@@ -288,10 +288,30 @@ def test_spam_edges(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     assert S.page_scores(df, "doc_id", "text").where("is_spam").count() == 0
     assert S.page_scores(df.limit(0), "doc_id", "text").count() == 0
-    kinds, codes, words, weight = S.tokens("lamp " * 300_000)
-    assert len(kinds) == 300_000 and words == ["lamp"] and S.classes(kinds, codes, [False]) == "K" * 300_000
-    assert S.tokens("[" + "a " * 400 + "](https://a.example/x)")[0] == "U" and S.tokens("[" + "a " * 400 + "](https://a.example/x)")[3] == [400]
-    assert len(S.tokens("[" * 200_000)[0]) == 0
+    assert read("lamp " * 300_000, [])[0] == "K" * 300_000
+    assert read("[" + "a " * 400 + "](https://a.example/x)", [])[0::2] == ("U", [400])
+    assert read("[" * 200_000, [])[0] == "" and read(None, [])[0] == ""
+
+
+def read(text, function):
+    """(classes, words, weights) of one page."""
+    import numpy as np
+
+    got = S.read_batch([None, text, "x"])
+    cls = S.class_batch(got["kinds"].to_pylist(), got["codes"].to_pylist(), got["words"], pa.array(function, pa.string()))
+    return cls[1], got["words"][1].as_py(), np.frombuffer(got["weight"][1].as_py(), "<i4").tolist()
+
+
+def test_classes_of_a_page():
+    assert read("The cat, the dog.\n12 #tag | https://a.example/x", ["the"])[0] == "FCMFCPBNTSU"
+    # Cited after seven words of its line; not after six, nor when a line or link lies between.
+    words = "one two three four five six"
+    for text, want in ((f"{words} seven https://a.example", "CCCCCCCL"), (f"{words} https://a.example", "CCCCCCU"), (f"{words} seven\nhttps://a.example", "CCCCCCCBU"), (f"{words} seven https://a.example/1 https://a.example/2", "CCCCCCCLU")):
+        assert read(text, [])[0] == want
+    assert read("lamp oil lamp oil lamp oil lamp", [])[0] == "KCKCKCK"
+    lines = [f"w{chr(97 + i)} x{chr(97 + i)} of the grand sand" for i in range(6)]
+    assert read("\n".join(lines), ["of", "the"])[0] == "B".join(["CCEEEE"] * 6)
+    assert sorted(read("b a b", [])[1]) == ["a", "b"]
 
 
 def test_perplexity_is_of_trigrams():

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,29 +52,57 @@ _FOLD = str.maketrans("يكةى", "یکهی")
 WINDOW, STEP = 16, 8
 
 _SPLIT = regex.compile(regex.sub(r"\(\?P<\w>", "(?:", _TOKEN.pattern), _TOKEN.flags)
-_READ: dict[str, tuple[str, str, int]] = {}
 
 
-def _read(token: str) -> tuple[str, str, int]:
-    """A token's kind, folded word and number of words; kept, for pages share most of their tokens."""
-    m = _TOKEN.fullmatch(token)
-    kind = m.lastgroup
-    word = token.lower().translate(_FOLD) if kind == "W" else ""
-    if len(_READ) > 300_000:
-        _READ.clear()
-    _READ[token] = got = (kind, word, 0 if kind in "PMSVBDQ" else max(1, len(token.split()) - 1) if kind == "U" else 1)
-    return got
-
-
-def tokens(text: str | None) -> tuple[str, list[int], list[str], list[int]]:
-    """A page's kinds (a letter a token), the code of each token's word (-1: none), the distinct words by code, and how
-    many words each token stands for (a linked title has several)."""
-    if not text:
-        return "", [], [], []
-    known = [_READ.get(t) or _read(t) for t in _SPLIT.findall(_UNSEEN.sub("", text))]
-    words: dict[str, int] = {}
-    codes = [words.setdefault(w, len(words)) if k == "W" else -1 for k, w, _ in known]
-    return "".join(k for k, _, _ in known), codes, list(words), [n for _, _, n in known]
+class _Tokens:
+    """The tokens that a worker has met, numbered from 1, with each one's kind, word and number of words: pages share most
+    of their tokens, and a batch of numbers is read by arrays."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.kind, self.word, self.size = [0], [0], [0]
+        self.words: dict[str, int] = {"": 0}
+
+    def add(self, token: str) -> int:
+        kind = _TOKEN.fullmatch(token).lastgroup
+        self.kind.append(ord(kind))
+        self.word.append(self.words.setdefault(token.lower().translate(_FOLD), len(self.words)) if kind == "W" else 0)
+        self.size.append(0 if kind in "PMSVBDQ" else max(1, len(token.split()) - 1) if kind == "U" else 1)
+        self.ids[token] = at = len(self.kind) - 1
+        return at
+
+
+_MET = _Tokens()
+
+
+def read_batch(texts: list[str | None]) -> dict[str, pa.Array]:
+    """Of each text its kinds (a letter a token), the code of each token's word (-1: none), the distinct words by code with
+    their times, and how many words each token stands for (a linked title has several)."""
+    global _MET
+    if len(_MET.kind) > 300_000:
+        _MET = _Tokens()
+    get, add = _MET.ids.get, _MET.add
+    pages = [[get(t) or add(t) for t in _SPLIT.findall(_UNSEEN.sub("", text))] if text else [] for text in texts]
+    n = np.array([len(p) for p in pages], "int64")
+    flat = np.array([t for p in pages for t in p], "int64")
+    page, ends = np.repeat(np.arange(len(n)), n), np.r_[0, np.cumsum(n)]
+    kinds, word = np.array(_MET.kind, "uint8")[flat], np.array(_MET.word, "int64")[flat]
+    has = word > 0
+    many = len(_MET.words)
+    keys, code, times = np.unique(page[has] * many + word[has], return_inverse=True, return_counts=True)
+    per = np.bincount(keys // many, minlength=len(n))
+    first = np.cumsum(per) - per
+    codes = np.full(len(flat), -1, "<i4")
+    codes[has] = code - first[page[has]]
+    lists = pa.array(np.r_[0, np.cumsum(per)], pa.int32())
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 4).astype("<i4")), pa.py_buffer(x.astype("<i4"))])
+    return {
+        "kinds": pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(kinds)]),
+        "codes": binary(codes),
+        "words": pa.ListArray.from_arrays(lists, pa.array(list(_MET.words), pa.string()).take(pa.array(keys % many))),
+        "times": pa.ListArray.from_arrays(lists, pa.array(times, pa.int32())),
+        "weight": binary(np.array(_MET.size, "int64")[flat]),
+    }
 
 
 def _echo(lines: list[list[int]], function: list[bool]) -> list[int]:
@@ -104,31 +133,48 @@ def _echo(lines: list[list[int]], function: list[bool]) -> list[int]:
     return out
 
 
-def classes(kinds: str, codes: list[int], function: list[bool]) -> str:
-    """The page's classes, one letter a token. function: whether the word of each code is a function word."""
-    out, at = list(kinds), [[]]
-    for i, k in enumerate(kinds):
-        if k == "B":
-            at.append([])
-        elif k == "W":
-            at[-1].append(i)
-    if len(at) > 3:
-        for pos, size in zip(at, _echo([[codes[i] for i in p] for p in at], function)):
-            for i in pos[len(pos) - size :] if size else []:
-                out[i] = "E"
-    content = Counter(codes[i] for p in at for i in p if out[i] == "W" and not function[codes[i]])
-    least = max(TIMES, OFTEN * sum(content.values()))
-    said = 0
-    for i, k in enumerate(kinds):
-        if k == "W":
-            said += 1
-            if out[i] == "W":
-                out[i] = "F" if function[codes[i]] else "K" if content[codes[i]] >= least else "C"
-        elif k in "BU":
-            if k == "U" and said >= CITED:
-                out[i] = "L"
-            said = 0
-    return "".join(out)
+def class_batch(kinds: list[str], codes: list[bytes], words: pa.ListArray, function: pa.Array) -> list[str]:
+    """The pages' classes, one letter a token."""
+    n = np.array([len(k) for k in kinds], "int64")
+    ends, page = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n)
+    kind = np.frombuffer("".join(kinds).encode("ascii"), "uint8")
+    is_word, is_break, is_link = kind == ord("W"), kind == ord("B"), kind == ord("U")
+    per = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    own = pc.is_in(words.flatten(), function).to_numpy(zero_copy_only=False)
+    first = np.cumsum(per) - per
+    code = np.frombuffer(b"".join(codes), "<i4").astype("int64")
+    at = np.flatnonzero(is_word)
+    word = code[at] + first[page[at]]  # the place of each word token's word among all pages' words
+
+    echo = np.zeros(len(kind), bool)
+    line = np.cumsum(is_break) + page
+    last = np.flatnonzero(np.r_[line[at][1:] != line[at][:-1], True]) if len(at) else at
+    close, closes = np.unique(word[last], return_counts=True)
+    lines = np.bincount(page[is_break], minlength=len(n)) + 1
+    whose = np.searchsorted(first + per, close, side="right")
+    for k in np.unique(whose[(closes >= 3) & (closes >= 0.25 * lines[whose])]).tolist():
+        inside = at[np.searchsorted(at, ends[k]) : np.searchsorted(at, ends[k + 1])]
+        cut = np.searchsorted(line[inside], np.arange(line[ends[k]], line[ends[k]] + lines[k] + 1))
+        rows = [inside[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        function_ = own[first[k] : first[k] + per[k]].tolist()
+        for row, size in zip(rows, _echo([code[r].tolist() for r in rows], function_)):
+            echo[row[len(row) - size :] if size else []] = True
+
+    content = ~own[word] & ~echo[at]
+    times = np.bincount(word[content], minlength=len(own))
+    least = np.maximum(TIMES, OFTEN * np.bincount(page[at][content], minlength=len(n)))
+    out = kind.copy()
+    out[at] = np.where(echo[at], ord("E"), np.where(own[word], ord("F"), np.where(times[word] >= least[page[at]], ord("K"), ord("C"))))
+    # Words since the last link or line end, at each link.
+    upto = np.cumsum(is_word)
+    mark = np.zeros(len(kind) + 1, "int64")
+    mark[1:][is_break | is_link] = upto[is_break | is_link]
+    starts = ends[:-1][n > 0]
+    mark[starts] = np.maximum(mark[starts], (upto - is_word)[starts])
+    said = upto - is_word - np.maximum.accumulate(mark)[:-1]
+    out[is_link & (said >= CITED)] = ord("L")
+    text = out.tobytes().decode("ascii")
+    return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def is_prose(cls: str) -> bool:
@@ -232,16 +278,10 @@ MAJORITY, DOUBT, FITS = 0.5, 0.25, 3
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, lang, text to id, lang, kinds, codes, words, times (of each word), weight."""
+    """id, lang, text to id, lang, kinds, codes, words, times, weight."""
     for batch in batches:
-        got = [tokens(t) for t in batch.column(2).to_pylist()]
-        times = [np.bincount(np.array([c for c in codes if c >= 0], "int64"), minlength=len(words)).astype("int32") for _, codes, words, _ in got]
-        ints = lambda x: np.array(x, "<i4").tobytes()
-        columns = [
-            batch.column(0), batch.column(1), pa.array([k for k, _, _, _ in got], pa.string()), pa.array([ints(c) for _, c, _, _ in got], pa.binary()),
-            pa.array([w for _, _, w, _ in got], pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32())), pa.array([ints(n) for _, _, _, n in got], pa.binary()),
-        ]
-        yield pa.record_batch(columns, names=["id", "lang", "kinds", "codes", "words", "times", "weight"])
+        got = read_batch(batch.column(2).to_pylist())
+        yield pa.record_batch([batch.column(0), batch.column(1), *got.values()], names=["id", "lang", *got])
 
 
 def function_words(pages: DataFrame) -> DataFrame:
@@ -253,21 +293,19 @@ def function_words(pages: DataFrame) -> DataFrame:
     """
     n = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
     tag = F.lower(F.coalesce("lang", F.lit("")))
-    sizes = pages.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LANGUAGE * n)
+    text = F.sum(F.aggregate("times", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    sizes = pages.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("pages"), text.alias("all_tf")).where(F.col("pages") >= LANGUAGE * n)
     per = pages.select(tag.alias("tag"), F.inline(F.arrays_zip("words", "times"))).groupBy("tag", "words").agg(F.count(F.lit(1)).alias("df"), F.sum("times").alias("tf"))
-    per = per.join(F.broadcast(sizes), "tag")
-    text = per.groupBy("tag").agg(F.sum("tf").alias("all_tf"))
-    often = per.where(F.col("df") >= SPREAD * F.col("pages")).join(F.broadcast(text), "tag")
+    often = per.join(F.broadcast(sizes), "tag").where(F.col("df") >= SPREAD * F.col("pages"))
     upto = F.sum("tf").over(Window.partitionBy("tag").orderBy(F.col("tf").desc(), "words").rowsBetween(Window.unboundedPreceding, 0))
     return often.withColumn("upto", upto).where(F.col("upto") <= HEAD * F.col("all_tf")).select(F.col("words").alias("word")).distinct()
 
 
-def _classify(function: frozenset[str]):
+def _classify(function: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(function, pa.string())
         for batch in batches:
-            cls = []
-            for kinds, codes, words in zip(*(batch.column(c).to_pylist() for c in ("kinds", "codes", "words"))):
-                cls.append(classes(kinds, np.frombuffer(codes, "<i4").tolist(), [w in function for w in words]))
+            cls = class_batch(batch.column("kinds").to_pylist(), batch.column("codes").to_pylist(), batch.column("words"), known)
             yield pa.record_batch(
                 [batch.column("id"), pa.array(cls, pa.string()), batch.column("weight"), pa.array(list(map(layout, cls)), pa.string()), pa.array(list(map(is_prose, cls)), pa.bool_())],
                 names=["id", "cls", "weight", "layout", "prose"],
@@ -357,7 +395,7 @@ def page_scores(df: DataFrame, key: str, text: str, lang: str | None = None) ->
     src = df.select(F.col(key).alias("id"), tag.alias("lang"), F.col(text).cast("string").alias("text"))
     id_dt = src.schema["id"].dataType.simpleString()
     read = materialise(src.mapInArrow(_tokenise, f"id {id_dt}, lang string, kinds string, codes binary, words array<string>, times array<int>, weight binary"), "spam-tokens")
-    function = frozenset(r["word"] for r in function_words(read).collect())
+    function = sorted(r["word"] for r in function_words(read).collect())
     pages = materialise(read.select("id", "kinds", "codes", "words", "weight").mapInArrow(_classify(function), f"id {id_dt}, cls string, weight binary, layout string, prose boolean"), "spam-classes")
     prose = pages.where("prose").select("cls", "weight", "layout")
     models, bands = _fit(prose)
