@@ -153,6 +153,28 @@ def test_corrections_win(spark):
     assert got["match_id"].startswith("قال#") and got["match_id"] != "قال#1" and got["tier"] == 1
 
 
+@pytest.mark.parametrize("lead", [0.01, 0.5, 1.0])
+def test_retrieval_is_that_of_scoring_everything(spark, monkeypatch, lead):
+    import math
+
+    monkeypatch.setattr(R, "LEAD", lead)
+    rng = random.Random(12)
+    vocab = [f"k{i}" for i in range(60)]
+    qs = {f"q{i:02}": set(rng.choices(vocab, k=rng.choice([1, 4, 12]))) for i in range(40)}
+    rs = {f"w{i:02}": set(rng.choices(vocab, weights=[1 + 30 // (j + 1) for j in range(60)], k=15)) for i in range(50)}
+    df = {k: sum(k in ws for ws in rs.values()) for k in vocab}
+    idf = {k: round(math.log(len(rs) / n) * 1_000_000) for k, n in df.items() if 0 < n <= 20}
+    want = {}
+    for q, ks in qs.items():
+        score = {w: sum(idf[k] for k in ks & ws if k in idf) for w, ws in rs.items() if any(k in idf for k in ks & ws)}
+        if score:
+            w = min(score, key=lambda w: (-score[w], w))
+            want[q] = (w, score[w], len(ks & rs[w]) * 1_000_000 // len(ks))
+    flat = lambda d, name: spark.createDataFrame([(a, k) for a, ks in d.items() for k in ks], f"{name} string, key string")
+    got = {r["query_id"]: (r["row_id"], r["score"], r["coverage_ppm"]) for r in R.retrieve(flat(qs, "query_id"), flat(rs, "row_id"), cap=20).collect()}
+    assert got == want
+
+
 def test_retrieval_ties_and_order(spark):
     q = spark.createDataFrame([("q", k) for k in "abc"], "query_id string, key string")
     r = spark.createDataFrame([(w, k) for w in ("w2", "w1") for k in "abc"] + [("w3", "z")], "row_id string, key string")
@@ -196,7 +218,7 @@ def test_wilson_and_empty_lexicon(spark):
 
 def test_lines_and_numbers(spark):
     df = spark.createDataFrame([(1, "front\r\n1 - a\nb\nباب x\nc"), (2, ""), (3, None)], "doc_id int, text string")
-    got = segment_records(lines_of(df, "doc_id", "text"), "doc_id", F.col("value").rlike(r"^\d+ - "), F.col("value").rlike("^باب")).orderBy("doc_id", "rec").collect()
+    got = segment_records(df, "doc_id", "text", lambda x: x.rlike(r"^\d+ - "), lambda x: x.rlike("^باب")).orderBy("doc_id", "rec").collect()
     assert [(r["doc_id"], r["rec"], r["kind"], r["lines"]) for r in got] == [(1, 0, "front", 1), (1, 1, "opener", 2), (1, 2, "heading", 2), (2, 0, "front", 1)]
     nums = spark.createDataFrame([("c", 1), ("c", 3), ("c", 3), ("c", 6), ("d", None)], "corpus string, number int")
     assert sorted(r["number"] for r in missing_numbers(nums, "corpus", "number", span=2).collect()) == [2, 4, 5]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.session import materialise
@@ -20,8 +20,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     rows = materialise(rows, "ranked")
     part = F.shiftright("__at", 33)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    # One row a partition: bounded by the number of shuffle partitions, not by the data.
-    before = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("b.__part") < F.col("a.__part"), "left")
-    before = before.groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    # One row a partition: the running sum and the broadcast are bounded by the number of shuffle partitions.
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     at = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
     return at.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit(_IN_PART)) + 1).drop("__at", "__part", "__before")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import text as X
 from wordloom.operators.scan import Scan, scan
 
 
@@ -14,30 +15,43 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(cut).alias("line", "value"))
 
 
-def fold_continuations(lines: DataFrame, key: str, mark: Column, join: str = " ") -> DataFrame:
-    """Lines whose `mark` holds go on from the line before; one row a logical line: key, line (its first), value.
+def _lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
 
-    A text's lines stay in its own task: a text is one row of its source, so that is no unbounded group. A first
-    line that is marked starts a logical line all the same.
+
+def fold_continuations(texts: DataFrame, key: str, text: str, mark, join: str = " ") -> DataFrame:
+    """Lines for which mark(line) holds go on from the line before; one row a logical line: key, line (its first), value.
+
+    A text is cut and put together where it lies: nothing is shuffled. A first line that is marked starts a logical
+    line all the same; a null text has none.
     """
-    w = Window.partitionBy(key).orderBy("line")
-    grouped = lines.withColumn("__start", F.sum(F.when(mark, 0).otherwise(1)).over(w))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])
-    return grouped.groupBy(key, "__start").agg(F.min("line").alias("line"), F.array_join(parts, join).alias("value")).select(key, "line", "value")
-
-
-def segment_records(lines: DataFrame, key: str, opens: Column, heads: Column) -> DataFrame:
-    """Lines into records: an opener or a heading begins one, other lines belong to the last begun (lines before any
-    boundary to record 0). key, rec, kind (opener, heading, front), first_line, lines, chars."""
-    w = Window.partitionBy(key).orderBy("line")
-    edge = F.when(heads, "heading").when(opens, "opener")
-    marked = lines.withColumn("__edge", edge).withColumn("rec", F.count("__edge").over(w))
-    return marked.groupBy(key, "rec").agg(
-        F.coalesce(F.min_by("__edge", "line"), F.lit("front")).alias("kind"),
-        F.min("line").alias("first_line"),
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(F.length("value")).cast("bigint").alias("chars"),
-    )
+
+    def folded(lines: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | ~mark(F.get(lines, i)))
+        return X.let(at, lambda starts: F.transform(starts, lambda i, k: F.struct(i.alias("line"), F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - i), join).alias("value"))))
+
+    return texts.where(F.col(text).isNotNull()).select(key, F.inline(X.let(_lines(F.col(text)), folded)))
+
+
+def segment_records(texts: DataFrame, key: str, text: str, opens, heads) -> DataFrame:
+    """Lines into records: a line for which opens(line) or heads(line) holds begins one, other lines belong to the last
+    begun (lines before any boundary to record 0). key, rec, kind (opener, heading, front), first_line, lines, chars.
+    A text is read where it lies, without a shuffle; a null text has no record."""
+
+    def cut(lines: Column) -> Column:
+        edge = lambda x: F.coalesce(heads(x) | opens(x), F.lit(False))
+        at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | edge(F.get(lines, i)))
+        return X.let(at, lambda starts: F.transform(starts, lambda i, k: record(lines, starts, i, k, edge)))
+
+    def record(lines: Column, starts: Column, i: Column, k: Column, edge) -> Column:
+        n = F.coalesce(F.get(starts, k + 1), F.size(lines)) - i
+        first, front = F.get(lines, i), ~edge(F.get(lines, 0))
+        kind = F.when(F.coalesce(heads(first), F.lit(False)), "heading").when(F.coalesce(opens(first), F.lit(False)), "opener").otherwise("front")
+        chars = F.aggregate(F.slice(lines, i + 1, n), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+        no = (k + F.when(front, 0).otherwise(1)).cast("bigint")
+        return F.struct(no.alias("rec"), kind.alias("kind"), i.alias("first_line"), n.cast("bigint").alias("lines"), chars.alias("chars"))
+
+    return texts.where(F.col(text).isNotNull()).select(key, F.inline(X.let(_lines(F.col(text)), cut)))
 
 
 def hierarchy(records: DataFrame, collection: str, order: str, top: Column, sub: Column, title: str) -> DataFrame:

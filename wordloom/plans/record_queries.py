@@ -102,19 +102,18 @@ add(
 
 
 # Lines of documents
-_lines = lambda s, d: S.lines_of(table(s, d, "documents"), "doc_id", "text")
 LINES = r"lines AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10))) AS value, CAST(generate_subscripts(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)), 1) - 1 AS INTEGER) AS line FROM documents)"
 CONT = r"^(?:https?:|\[|<a |#|- )"
 add(
     "fold_continuations",
-    lambda s, d: S.fold_continuations(_lines(s, d), "doc_id", F.col("value").rlike(CONT)).select("doc_id", "line", F.md5("value").alias("h")),
+    lambda s, d: S.fold_continuations(table(s, d, "documents"), "doc_id", "text", lambda x: x.rlike(CONT)).select("doc_id", "line", F.md5("value").alias("h")),
     f"""WITH {LINES}, g AS (SELECT *, sum(CASE WHEN regexp_matches(value, '{CONT}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) st FROM lines)
 SELECT doc_id, min(line) AS line, md5(string_agg(value, ' ' ORDER BY line)) AS h FROM g GROUP BY doc_id, st""",
 )
 OPEN, HEAD = r"^[0-9]+ - ", r"^(?:باب|كتاب|فضل|ذكر|بيان|ما جاء) "
 add(
     "segment_records",
-    lambda s, d: S.segment_records(_lines(s, d), "doc_id", F.col("value").rlike(OPEN), F.col("value").rlike(HEAD)),
+    lambda s, d: S.segment_records(table(s, d, "documents"), "doc_id", "text", lambda x: x.rlike(OPEN), lambda x: x.rlike(HEAD)),
     f"""WITH {LINES}, e AS (SELECT *, CASE WHEN regexp_matches(value, '{HEAD}') THEN 'heading' WHEN regexp_matches(value, '{OPEN}') THEN 'opener' END ed FROM lines),
 g AS (SELECT *, count(ed) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) rec FROM e)
 SELECT doc_id, rec, coalesce(min_by(ed, line), 'front') AS kind, min(line) AS first_line, count(*) AS lines, CAST(sum(length(value)) AS BIGINT) AS chars FROM g GROUP BY doc_id, rec""",
