@@ -265,13 +265,17 @@ def p7_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a target: whether the mix keeps to the source's repeats, takes whole texts of that source only, and comes
-    within a hundredth of the share that its texts allow."""
+    within a hundredth of the tokens that its share allows, or within its shortest text where texts are so few that
+    no whole one comes nearer."""
     sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
     chosen = materialise(mix(sizes, targets), "mix-chosen")
     own = chosen.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("true_source")), "id").where(F.col("source") == F.col("true_source")).groupBy("source").agg(F.count(F.lit(1)).alias("own"))
     all_ = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
-    got = shares(chosen, sizes, targets).join(all_, "source", "left").join(own, "source", "left")
-    near = F.abs(F.col("share_reached") - F.col("share_possible")) <= 0.01 * F.col("share_possible")
+    least = sizes.where("n_tokens > 0").groupBy("source").agg(F.min("n_tokens").alias("least"))
+    got = shares(chosen, sizes, targets).join(all_, "source", "left").join(own, "source", "left").join(least, "source", "left")
+    whole = chosen.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).scalar()
+    want = F.col("share_possible") * F.coalesce(whole, F.lit(0))
+    near = F.abs(F.col("tokens_taken") - want) <= F.greatest(0.01 * want, F.coalesce(F.col("least"), F.lit(0)))
     return got.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), F.col("all").eqNullSafe(F.col("own")).alias("own_texts"), near.alias("on_target"))
 
 
