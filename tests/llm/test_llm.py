@@ -388,7 +388,7 @@ def test_linkage(spark):
     assert all(0 < x["confidence"] <= 1 for x in got.collect())
 
 
-@pytest.mark.parametrize("bound, crowd", [(1024, 100_000), (16, 100_000), (16, 20)])
+@pytest.mark.parametrize("bound, crowd", [(4096, 100_000), (16, 100_000), (16, 20)])
 def test_linkage_of_copies_goes_by_place(spark, monkeypatch, bound, crowd):
     monkeypatch.setattr(K, "BOUND", bound)
     monkeypatch.setattr(K, "CROWD", crowd)
@@ -399,7 +399,7 @@ def test_linkage_of_copies_goes_by_place(spark, monkeypatch, bound, crowd):
     assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(30)}
 
 
-@pytest.mark.parametrize("n", [60, 70, 1500])
+@pytest.mark.parametrize("n", [60, 70, 5000])
 def test_linkage_of_copies_without_places_takes_the_lowest(spark, n):
     _, _, texts = world()
     recs = [(f"r{i:04}", "c", i, None, None, " ".join(texts[0])) for i in range(n)]
@@ -418,7 +418,7 @@ def test_linkage_of_near_copies_in_bounded_edges(spark, monkeypatch, crowd):
     assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(200)}
 
 
-@pytest.mark.parametrize("bound, crowd", [(1024, 100_000), (16, 100_000), (16, 20)])
+@pytest.mark.parametrize("bound, crowd", [(4096, 100_000), (16, 100_000), (16, 20)])
 def test_linkage_of_copies_without_a_usable_place(spark, monkeypatch, bound, crowd):
     monkeypatch.setattr(K, "BOUND", bound)
     monkeypatch.setattr(K, "CROWD", crowd)
