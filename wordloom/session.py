@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", where)
