@@ -33,7 +33,7 @@ def add(name, fn, sql=None):
 # Readers: small tables are written in the delivered form and read back.
 def _marked_up(s, d):
     path = scratch(s, "texts")
-    lines = F.concat_ws("\n", F.lit("######OpenITI#"), F.format_string("#META# share :: %s", F.col("target_share").cast("string")), F.format_string("#META# repeats :: %d", "max_repeats"), F.lit("#META# note :: NODATA"), F.lit("#META#Header#End#"), F.concat(F.lit("body of "), F.col("source")))
+    lines = F.concat_ws("\n", F.lit("######"), F.format_string("#META# share :: %s", F.col("target_share").cast("string")), F.format_string("#META# repeats :: %d", "max_repeats"), F.lit("#META# note :: NODATA"), F.lit("#META#Header#End#"), F.concat(F.lit("body of "), F.col("source")))
     table(s, d, "mix_targets").where("source is not null").select("source", lines.alias("value")).write.partitionBy("source").option("lineSep", "\r\n").text(path)
     return readers.text_files(s, f"{path}/*")
 
