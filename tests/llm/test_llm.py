@@ -293,6 +293,24 @@ def test_spam_edges(spark):
     assert read("[" * 200_000, [])[0] == "" and read(None, [])[0] == ""
 
 
+def test_few_lists_among_many_pages(spark):
+    """Lists on a few of very many training pages do not make lists foreseeable, as they would not in a small corpus."""
+    import numpy as np
+
+    rng = random.Random(8)
+    clean = ["".join(rng.choice(["CFC", "FCC", "CCF", "CFP", "CMF"]) for _ in range(12)) for _ in range(2000)]
+    links = lambda n: "".join("U" * rng.randint(3, 6) + rng.choice(["C", "CC", "FC", "CF"]) for _ in range(n))
+    listed = [clean[0] + links(20)]
+    pages = [links(6), "CFCFP" + links(8), clean[0]]
+    found = []
+    for copies, some in ((1, []), (10, listed)):
+        cls = clean * copies + some
+        rows = spark.createDataFrame([(c, np.ones(len(c), "<i4").tobytes(), "text") for c in cls], "cls string, weight binary, layout string")
+        share, _ = S.Pages(pages, ["text"] * 3).abnormal(*S._fit(rows), np.ones(sum(map(len, pages))))
+        found.append((share > S.MAJORITY).tolist())
+    assert found == [[True, True, False]] * 2
+
+
 def read(text, function):
     """(classes, words, weights) of one page."""
     import numpy as np

@@ -195,16 +195,25 @@ def gram_name(number: int) -> str:
 #: Weights of the trigram, bigram, unigram and even distributions. The last keeps one odd token at 9 bits: a
 #: single link in a window does not make it abnormal, a list of them does.
 MIX = (0.7, 0.2, 0.07, 0.03)
+#: A transition that this part of the training pages has counts half, one that fewer have less.
+SHARED = 1 / 2000
 
 
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """log2 probability of each trigram's last class, of counts of trigrams interpolated with shorter ones."""
+def log_probabilities(counts: np.ndarray, shared: np.ndarray | None = None, pages: float = 0) -> np.ndarray:
+    """log2 probability of each trigram's last class, of counts of trigrams interpolated with shorter ones.
+
+    shared: how many of the `pages` have each trigram, and behind those each bigram. What a trigram or bigram loses for
+    being on few pages goes to the shorter one, so that a context seen on a few pages only says as little as one never seen.
+    """
     tri = counts.reshape(_N, _N, _N).astype(float)
     bi = tri.sum(0)
     uni = bi.sum(0) / max(1.0, bi.sum())
     of3, of2 = tri.sum(2, keepdims=True), bi.sum(1, keepdims=True)
-    two = np.where(of2 > 0, bi / np.maximum(of2, 1), uni[None, :])
-    three = np.where(of3 > 0, tri / np.maximum(of3, 1), two[None, :, :])
+    if shared is not None and pages:
+        trust = shared / (shared + SHARED * pages)
+        tri, bi = tri * trust[: _N**3].reshape(tri.shape), bi * trust[_N**3 :].reshape(bi.shape)
+    two = np.where(of2 > 0, (bi + (of2 - bi.sum(1, keepdims=True)) * uni[None, :]) / np.maximum(of2, 1), uni[None, :])
+    three = np.where(of3 > 0, (tri + (of3 - tri.sum(2, keepdims=True)) * two[None, :, :]) / np.maximum(of3, 1), two[None, :, :])
     return np.log2(MIX[0] * three + MIX[1] * two[None] + MIX[2] * uni[None, None] + MIX[3] / _N).ravel()
 
 
@@ -320,10 +329,17 @@ def _pages(batch: pa.RecordBatch) -> tuple[Pages, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(LAYOUTS), _N**3), "int64")
+    """layout, gram, n: how often each trigram occurs; from _N**3 on how many pages have it, then how many have each
+    bigram, and last the number of pages."""
+    whole = _N**3
+    total = np.zeros((len(LAYOUTS), 2 * whole + _N**2 + 1), "int64")
     for batch in batches:
         p, _ = _pages(batch)
         np.add.at(total, (p.lay[p.page], p.grams), 1)
+        for size, start in ((whole, whole), (_N**2, 2 * whole)):
+            own = np.unique(p.page * size + p.grams % size)
+            np.add.at(total, (p.lay[own // size], start + own % size), 1)
+        np.add.at(total, (p.lay[p.n > 0], -1), 1)
     lay, at = np.nonzero(total)
     yield pa.record_batch([pa.array(lay.astype("int32")), pa.array(at.astype("int32")), pa.array(total[lay, at])], names=["layout", "gram", "n"])
 
@@ -363,10 +379,11 @@ def _score(models: np.ndarray, bands: np.ndarray, id_type: pa.DataType):
 def _fit(prose: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The models (a row a layout) and their bands (low, high). A layout that no prose has is read by the model of
     running text; without any prose nothing is abnormal."""
-    counts = np.zeros((len(LAYOUTS), _N**3))
+    counts = np.zeros((len(LAYOUTS), 2 * _N**3 + _N**2 + 1))
     for r in prose.mapInArrow(_count, "layout int, gram int, n bigint").groupBy("layout", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r["layout"], r["gram"]] = r["n"]
-    models = np.array([log_probabilities(c if c.any() else counts[0]) for c in counts])
+    counts = [c if c.any() else counts[0] for c in counts]
+    models = np.array([log_probabilities(c[: _N**3], c[_N**3 : -1], c[-1]) for c in counts])
     bins = np.zeros((len(LAYOUTS), BINS))
     for r in prose.mapInArrow(_histogram(models), "layout int, bin int, n bigint").groupBy("layout", "bin").agg(F.sum("n").alias("n")).collect():
         bins[r["layout"], r["bin"]] = r["n"]
@@ -386,7 +403,7 @@ def page_scores(df: DataFrame, key: str, text: str, lang: str | None = None) ->
 
     Null, empty and wordless texts score 0 and are no spam; copies score alike. Function words, models and bands come
     from all pages of df: what reaches the driver is the list of function words (at most 1 / SPREAD times the words of a
-    page for each of at most 1 / LANGUAGE languages), a table of class trigrams (16 classes, 5 layouts) and a histogram
+    page for each of at most 1 / LANGUAGE languages), a table of class trigrams and their pages (16 classes, 5 layouts) and a histogram
     of fixed bins, whatever the size of df. Without prose to learn from nothing is spam.
     """
     from pyspark.sql.pandas.types import to_arrow_type
