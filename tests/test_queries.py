@@ -43,5 +43,10 @@ def test_query(spark, sf, duck, name):
         assert got == rows(rel.columns, rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["case_agreement"])
+def test_readings_are_not_broadcast(spark, sf, name):
+    assert "Broadcast" not in entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -36,6 +36,12 @@ def readings(spark, d):
     return B.inventory(entries(spark, d, "search_key", "vocalized", "freq", "voc_source"))
 
 
+def _keys(spark, d):
+    """One row a key of the readings, never broadcast: their number grows with the data, and Spark takes the size of the
+    compressed file for theirs."""
+    return B.keyed(readings(spark, d)).hint("merge")
+
+
 def _seen(spark, d, blocks, pairs):
     """record_id, i, seen, size, ambiguous: of each word of a record the longest block that covers it (then the lower a
     and b), the witness's word there, and whether the witness's row has other forms of that key."""
@@ -142,7 +148,7 @@ WHERE key NOT IN {_in(A.genitive)} AND prev2_key IN {_in(A.genitive)} AND gen_id
 add(
     "case_agreement",
     lambda s, d: B.last_tiers(
-        tokens(s, d).join(B.keyed(readings(s, d)), "key").where("n > 1").withColumns({"tier": F.lit(None).cast("int"), "reading": F.lit(None).cast("struct<id: string, form: string>"), "left": F.lit(None).cast("struct<id: string, form: string, total: bigint>"), "right": F.lit(None).cast("struct<id: string, form: string, total: bigint>")})
+        tokens(s, d).join(_keys(s, d), "key").where("n > 1").withColumns({"tier": F.lit(None).cast("int"), "reading": F.lit(None).cast("struct<id: string, form: string>"), "left": F.lit(None).cast("struct<id: string, form: string, total: bigint>"), "right": F.lit(None).cast("struct<id: string, form: string, total: bigint>")})
     ).select("record_id", "i", "tier", F.col("reading.id").alias("match_id")),
     f"""WITH {NB}, {SUR}, {INV0}, o AS ({ORD} inv0), ky AS ({KEYS} o GROUP BY key), g AS (SELECT *, CASE WHEN prev_key IN {_in(A.genitive)} THEN gen_id WHEN prev_key IN {_in(A.accusative)} THEN acc_id END AS c FROM nbr JOIN ky USING (key) WHERE n > 1)
 SELECT record_id, i, CAST(CASE WHEN c IS NULL THEN 4 ELSE 3 END AS INTEGER) AS tier, coalesce(c, top_id) AS match_id FROM g""",
