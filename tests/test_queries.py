@@ -43,7 +43,7 @@ def test_query(spark, sf, duck, name):
         assert got == rows(rel.columns, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["case_agreement"])
+@pytest.mark.parametrize("name", ["case_agreement", "lag2_override"])
 def test_readings_are_not_broadcast(spark, sf, name):
     assert "Broadcast" not in entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 

@@ -141,7 +141,7 @@ SELECT raw, seen, count(*) AS tokens FROM c WHERE NOT (la = lb AND ma = mb) GROU
 # The test data's names have no "son of": here every word but a particle takes the case of the word before it.
 add(
     "lag2_override",
-    lambda s, d: B.override(tokens(s, d).join(B.keyed(readings(s, d)), "key").withColumns({"tier": F.lit(4), "reading": F.col("top")}), follows=~F.col("key").isin(*A.genitive)).where("tier = 3").select("record_id", "i", "key", F.col("reading.id").alias("match_id")),
+    lambda s, d: B.override(tokens(s, d).join(_keys(s, d), "key").withColumns({"tier": F.lit(4), "reading": F.col("top")}), follows=~F.col("key").isin(*A.genitive)).where("tier = 3").select("record_id", "i", "key", F.col("reading.id").alias("match_id")),
     f"""WITH {NB}, {SUR}, {INV0}, o AS ({ORD} inv0), ky AS ({KEYS} o GROUP BY key) SELECT record_id, i, key, gen_id AS match_id FROM nbr JOIN ky USING (key)
 WHERE key NOT IN {_in(A.genitive)} AND prev2_key IN {_in(A.genitive)} AND gen_id IS NOT NULL AND gen_id <> top_id""",
 )
