@@ -452,6 +452,20 @@ def test_linkage_of_copies_without_a_usable_place(spark, monkeypatch, bound, cro
     assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("crowd, cell", [(100_000, 2048), (20, 8)])
+def test_linkage_over_a_run_that_all_texts_share(spark, monkeypatch, crowd, cell):
+    """No place, and no run in common but the opening, which leads to more than BOUND pairs."""
+    monkeypatch.setattr(K, "BOUND", 16)
+    monkeypatch.setattr(K, "CROWD", crowd)
+    monkeypatch.setattr(K, "CELL", cell)
+    _, vocab, texts = world()
+    tails = [vocab[i * 12 : i * 12 + 12] for i in range(30)]
+    recs = [(f"r{i:03}", "c", i, None, None, " ".join(texts[0][:14] + t)) for i, t in enumerate(tails)]
+    rows = [(f"w{i:03}", "e", None, None, " ".join(texts[0][:14] + [x if k % 3 else f"{x}ق{x}" for k, x in enumerate(t)])) for i, t in enumerate(tails)]
+    got = K.link(spark.createDataFrame(recs, R_SCHEMA), spark.createDataFrame(rows, W_SCHEMA))
+    assert {(x["record_id"], x["witness_id"]) for x in got.collect()} == {(f"r{i:03}", f"w{i:03}") for i in range(30)}
+
+
 def test_linkage_empty(spark):
     r, w = spark.createDataFrame([], R_SCHEMA), spark.createDataFrame([], W_SCHEMA)
     assert K.link(r, w).count() == 0

@@ -1,16 +1,15 @@
 """Problem 3: entities matched across sources without keys, by collective graph linkage.
 
-1. Candidate graph. Equal texts of a table are one node. Nodes meet over rare shared attributes: runs of three words
-   (folded), weighted by their rarity. A run is rare when it leads to at most BOUND pairs, counted on both sides; one
-   that leads to more is lengthened to four, six and twelve words at its place. What is still not rare is qualified by
-   the place its rows claim: the chapter, by the ends that the score accepts; the neighbourhood of the number; and
-   that of the collection's number to which the rows around it are shifted. Under a qualified key that leads to more
-   than BOUND pairs, and under the bare run, a row meets the lowest id. So a row always has a candidate among those
-   that share its run, and no attribute leads to more than BOUND pairs or one a row.
+1. Candidate graph. Equal texts of a table are one node. Nodes meet over shared runs of three words (folded), weighted
+   by their rarity. A run that leads to at most BOUND pairs, counted on both sides, makes edges; one that leads to more
+   is lengthened to four, six and twelve words at its place for their weight, and its pairs are all looked at: its nodes
+   are dealt into cells, and a pair whose words, in whatever order, can be aligned to COVER_NEAR is a candidate. So no
+   pair that shares a run of three words is lost for the number of others that share it.
 2. Meta-blocking. An edge stays when it is at least as heavy as the average edge of its row; edges between nodes that
-   claim the same place, and those made by place, stay too.
+   claim the same place, and the candidates of runs beyond BOUND, stay too.
 3. Collective refinement. The words of the ends are aligned (longest common subsequence), and nodes open into their
-   rows by the same rule: all pairs up to BOUND, by place beyond. A pair's confidence adds what its neighbours say:
+   rows: all pairs up to BOUND; of a text with more copies than that by the place they claim, under a key of more than
+   BOUND pairs the lowest id. A pair's confidence adds what its neighbours say:
    how much of the confidence around the record lies on pairs whose numbers are shifted alike. Confidences change
    their neighbours', so this repeats until no row's best partner moves. A partner once left is not taken again, so
    the rounds come to an end without a limit on their number.
@@ -23,6 +22,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +32,10 @@ from wordloom.session import latest_by, materialise, table
 
 log = logging.getLogger(__name__)
 
-#: Pairs that one attribute may lead to.
+#: Pairs that one attribute may lead to without a look at their words.
 BOUND = 4096
+#: Nodes of a side in a cell of a run beyond BOUND, and places that words are counted at.
+CELL, BUCKETS = 2048, 1024
 #: Rows of one attribute beyond which they are never gathered, whatever pairs they might make.
 CROWD = 100_000
 #: Words of an attribute, level by level.
@@ -108,6 +110,37 @@ def _all_pairs(groups: DataFrame, total: Column) -> DataFrame:
     return few.select("r", F.explode("ws").alias("w"), "weight")
 
 
+def _alignable(cell: pa.Table) -> pa.Table:
+    """r, w of a cell (mine, c, bag: the words' places) whose words can be aligned to COVER_NEAR. In any order they have no
+    fewer in common, nor have words that fall together: no pair that can be aligned so far is left out."""
+    mine = cell.column("mine").to_numpy()
+
+    def side(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = cell.filter(pa.array(rows))
+        bags = pa.concat_arrays(own.column("bag").chunks) if own.num_rows else pa.array([], pa.list_(pa.int16()))
+        n = bags.value_lengths().to_numpy()
+        at = np.repeat(np.arange(len(n)), n) * BUCKETS + bags.flatten().to_numpy()
+        return own.column("c").to_numpy(), n, np.bincount(at, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype("f4")
+
+    (r, r_n, r_words), (w, w_n, w_words) = side(mine), side(~mine)
+    most = np.minimum(r_words @ (w_words > 0).T.astype("f4"), (r_words > 0).astype("f4") @ w_words.T)
+    i, j = np.nonzero(most >= COVER_NEAR * np.minimum.outer(r_n, w_n))
+    return pa.table({"r": pa.array(r[i], pa.int64()), "w": pa.array(w[j], pa.int64())})
+
+
+def _heavy_pairs(rows: DataFrame) -> DataFrame:
+    """r, w: of rows (h, mine, c, codes) all pairs of a key that can be aligned. A key's nodes are dealt into cells of about
+    CELL of either side, so that none is gathered whole."""
+    parts = lambda side: F.ceil(F.count_if(side) / CELL)
+    sizes = rows.groupBy("h").agg(parts(F.col("mine")).alias("rs"), parts(~F.col("mine")).alias("ws")).where("rs > 0 and ws > 0")
+    bag = F.transform("codes", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("smallint")).alias("bag")
+    dealt = rows.join(sizes, "h").select("h", "mine", "c", bag, "rs", "ws", F.xxhash64("c").alias("deal"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    mine = dealt.where("mine").select("h", F.pmod("deal", "rs").alias("i"), every("ws").alias("j"), "mine", "c", "bag")
+    theirs = dealt.where("not mine").select("h", every("rs").alias("i"), F.pmod("deal", "ws").alias("j"), "mine", "c", "bag")
+    return mine.unionByName(theirs).groupBy("h", "i", "j").applyInArrow(_alignable, "r bigint, w bigint").distinct()
+
+
 def _endings(titles: DataFrame, whole: str, tail: str, first: int) -> DataFrame:
     """chapter, kind, ending: the chapter itself as `whole`, and its ends from the character `first` on as `tail`. One
     row a distinct chapter and end, so that titles that end alike meet, whichever is the shorter."""
@@ -187,33 +220,23 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], common], names=[*[batch.schema.names[i] for i in keep], "common"])
 
 
-def candidates(mine: DataFrame, theirs: DataFrame, records: DataFrame, rows: DataFrame) -> DataFrame:
-    """r, w, weight: the pruned candidate graph of two tables of nodes, whose rows are in records and rows."""
+def candidates(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """r, w, weight: the pruned candidate graph of two tables of nodes."""
     total = mine.agg(F.count(F.lit(1)).alias("n")).scalar()
     nodes = mine.unionByName(theirs)
-    starts, found = _starts(nodes), None
+    starts, edges, heavy = _starts(nodes), None, None
     for k in RUNS:
         runs = starts.withColumn("h", _run(k))
         groups, crowd = _meet(runs.select("h", "mine", F.col("c").alias("item")))
         pairs = _all_pairs(groups, total)
-        found = pairs if found is None else found.unionByName(pairs)
+        edges = pairs if edges is None else edges.unionByName(pairs)
         hot = materialise(groups.where(_many()).select("h").unionByName(crowd.select("h").distinct()), "link-hot")
-        starts = None
-        if hot.isEmpty():
+        if k == RUNS[-1] or hot.isEmpty():
             break
         # Hot runs' places are read off the texts again, so that no place rides through the shuffles above.
         starts = materialise(runs.join(hot, "h", "left_semi"), "link-starts")
-    edges = found
-    by_place = None
-    if starts is not None:
-        rest = starts.select("mine", "c", F.col("h").alias("run")).distinct()
-        of = lambda side, d, *cols: rest.where("mine" if side else "not mine").join(d, "c").select("run", F.col("c").alias("item"), *cols, "number", "chapter").distinct()
-        heaviest = found.groupBy("r", "w").agg(F.sum("weight").alias("weight")).groupBy("w").agg(F.max(F.struct("weight", "r")).alias("best")).select("w", "best.r")
-        lone = lambda d, *cols: d.groupBy("c").agg(F.count(F.lit(1)).alias("m"), *[F.min(c).alias(c) for c in cols]).where("m = 1").drop("m")
-        best = heaviest.join(lone(records, "collection", "number").select(F.col("c").alias("r"), "collection", F.col("number").alias("r_no")), "r")
-        best = best.join(lone(rows, "source", "number").select(F.col("c").alias("w"), "source", F.col("number").alias("w_no")), "w")
-        by_place = materialise(_by_place(of(True, records, "id", "collection"), of(False, rows, "source"), _shifts(best), total), "link-by-place")
-        edges = edges.unionByName(by_place)
+        if heavy is None:
+            heavy = materialise(_heavy_pairs(starts.select("h", "mine", "c", "codes")), "link-heavy")
     # One shuffle by the row: its edges are summed and averaged where they lie.
     edges = edges.repartition("w").groupBy("w", "r").agg(F.sum("weight").alias("weight"))
     mean = F.avg("weight").over(Window.partitionBy("w"))
@@ -221,11 +244,10 @@ def candidates(mine: DataFrame, theirs: DataFrame, records: DataFrame, rows: Dat
     theirs_at = theirs.select(F.col("c").alias("w"), F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi"))
     mine_at = mine.select(F.col("c").alias("r"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     near = (F.col("r_lo") - NEAR <= F.col("w_hi")) & (F.col("w_lo") - NEAR <= F.col("r_hi"))
-    kept = edges.join(theirs_at, "w").join(mine_at, "r")
-    if by_place is not None:
-        kept = kept.join(by_place.select("r", "w").distinct().withColumn("placed", F.lit(True)), ["r", "w"], "left")
-        near = near | F.col("placed")
-    return kept.where(F.col("strong") | F.coalesce(near, F.lit(False))).select("r", "w", "weight")
+    kept = edges.join(theirs_at, "w").join(mine_at, "r").where(F.col("strong") | F.coalesce(near, F.lit(False))).select("r", "w", "weight")
+    if heavy is None:
+        return kept
+    return kept.unionByName(heavy.withColumn("weight", F.lit(0).cast("bigint"))).groupBy("r", "w").agg(F.max("weight").alias("weight"))
 
 
 def _score(pairs: DataFrame) -> DataFrame:
@@ -281,7 +303,7 @@ def link(records: DataFrame, rows: DataFrame) -> DataFrame:
     mine, theirs = _nodes(rec, True), _nodes(wit, False)
     rec = materialise(rec.drop("codes").join(mine.select("h1", "h2", "c", "m"), ["h1", "h2"]).drop("h1", "h2"), "link-members")
     wit = materialise(wit.drop("codes").join(theirs.select("h1", "h2", "c", "m"), ["h1", "h2"]).drop("h1", "h2"), "link-members")
-    edges = candidates(mine, theirs, rec, wit)
+    edges = candidates(mine, theirs)
     r_node = mine.select(F.col("c").alias("r"), F.col("n").alias("r_n"), F.col("m").alias("r_m"), F.col("codes").alias("r_codes"))
     w_node = theirs.select(F.col("c").alias("w"), F.col("n").alias("w_n"), F.col("m").alias("w_m"), F.col("codes").alias("w_codes"))
     texts = edges.join(r_node, "r").join(w_node, "w")
